@@ -25,6 +25,7 @@ columns are read; repeated rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,22 +41,27 @@ PLAIN = regex.compile(r"[\t\n\r\x20-\x7e -įĲ-ž‐-‧‰-⁞₠-₿]*")
 
 CHUNK_MASK = np.uint64(0x3F)
 CHUNK_WINDOW = 16
-MEMO_MB = 96
+MEMO_MB = 256
 
 
 class Memo:
-    """A dictionary that starts anew once it holds more than its share of bytes."""
+    """A dictionary bounded in bytes, in two halves: when the young half is full it becomes the old one, whose keys come back as they are used."""
 
     def __init__(self, limit: int) -> None:
-        self.limit, self.held, self.found = limit, 0, {}
+        self.limit, self.held, self.young, self.old = limit // 2, 0, {}, {}
 
-    def put(self, key: str, value: tuple) -> tuple:
-        size = 300 + 2 * len(key) + sum(len(x) for x in value if isinstance(x, str))
+    def put(self, key: str, value: tuple) -> None:
+        size = 300 + 2 * len(key) + sum(len(x) for x in value)
         if self.held + size > self.limit:
-            self.held, self.found = 0, {}
+            self.held, self.old, self.young = 0, self.young, {}
         self.held += size
-        self.found[key] = value
-        return value
+        self.young[key] = value
+
+    def get(self, key: str) -> tuple | None:
+        known = self.young.get(key)
+        if known is None and (known := self.old.get(key)) is not None:
+            self.put(key, known)
+        return known
 
 
 def cuts(data: bytes) -> list[int]:
@@ -86,46 +92,60 @@ class Coder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.chunks, self.words = Memo(memo_mb << 19), Memo(memo_mb << 19)
+        self.joins_by_space = self.lib.decoder is None
+        self.chunks, self.words = Memo(memo_mb << 18), Memo(memo_mb * 3 << 18)
 
-    def _library(self, text: str) -> tuple[str, int, str]:
-        ids = self.lib.encode(text, add_special_tokens=False).ids
-        return " ".join(map(str, ids)), len(ids), self.lib.decode(ids, skip_special_tokens=False)
-
-    def _word(self, word: str) -> tuple[str, str]:
-        ids, _, decoded = self._library(word)
-        return self.words.put(word, (ids, decoded))
-
-    def _chunk(self, text: str) -> tuple[str, str]:
-        known = self.chunks.found.get(text)
-        if known is None:
-            get, word = self.words.found.get, self._word
-            pieces = [get(w) or word(w) for w in PIECES.findall(text.lower())]
-            known = self.chunks.put(text, (" ".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])))
-        return known
+    def _decoded(self, encoding) -> str:
+        return " ".join(encoding.tokens) if self.joins_by_space else self.lib.decode(encoding.ids, skip_special_tokens=False)
 
-    def encode(self, text: str) -> tuple[str, int, str]:
+    def _library(self, text: str) -> tuple[str, int, str]:
+        e = self.lib.encode(text, add_special_tokens=False)
+        return " ".join(map(str, e.ids)), len(e.ids), self.lib.decode(e.ids, skip_special_tokens=False)
+
+    def _encode_chunks(self, texts: list[str]) -> dict[str, tuple[str, str]]:
+        """Ids and decoded text of chunks that the memo lacks; their new words go to the library in one call."""
+        pieces = {t: PIECES.findall(t.lower()) for t in texts}
+        young, fresh = self.words.young, {}
+        new = []
+        for w in set().union(*pieces.values()):
+            if w in young:
+                continue
+            if (known := self.words.get(w)) is None:
+                new.append(w)
+            else:
+                fresh[w] = known
+        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
+            fresh[w] = (" ".join(map(str, e.ids)), self._decoded(e))
+            self.words.put(w, fresh[w])
+        out = {}
+        for t, ws in pieces.items():
+            found = [young.get(w) or fresh[w] for w in ws]
+            out[t] = (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+            self.chunks.put(t, out[t])
+        return out
+
+    def encode(self, text: str | None) -> tuple[str, int, str]:
         """Ids in decimal joined by one space, their number, and the decoded text."""
         if not text:
             return "", 0, ""
         if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return self._library(text)
-        data = text.encode()
-        ids, decoded, start = [], [], 0
+        data, chunks, start = text.encode(), [], 0
         for end in [*cuts(data), len(data)]:
             if end < len(data) and data[end - 1] not in b" \n\r\t":
                 continue  # the join doesn't agree by itself: encode with what follows
-            i, d = self._chunk(data[start:end].decode())
-            if i:
-                ids.append(i)
-                decoded.append(d)
+            chunks.append(data[start:end].decode())
             start = end
-        joined = " ".join(ids)
-        return joined, joined.count(" ") + 1 if joined else 0, " ".join(decoded)
+        known = {t: self.chunks.get(t) for t in chunks}
+        known |= self._encode_chunks([t for t, k in known.items() if k is None])
+        parts = [known[t] for t in chunks if known[t][0]]
+        joined = " ".join([p[0] for p in parts])
+        return joined, joined.count(" ") + 1 if joined else 0, " ".join([p[1] for p in parts])
 
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Coder(path)
 
 

@@ -36,13 +36,14 @@ def test_chunks_are_shared_and_memo_is_bounded():
     passage = " ".join(f"word{i % 977} of" for i in range(2000))
     c = bpe.Coder(PATH)
     c.encode("some lead " + passage)
-    before = len(c.chunks.found)
+    before = len(c.chunks.young)
     c.encode("another lead of other words " + passage)
-    assert before > 20 and len(c.chunks.found) - before < 6
-    small = bpe.Memo(1000)
+    assert before > 20 and len(c.chunks.young) - before < 6
+    small = bpe.Memo(2000)
     for i in range(100):
         small.put(str(i), ("x" * 50,))
-    assert small.held <= 1000
+        assert small.get(str(i))
+    assert small.held <= 1000 and len(small.young) + len(small.old) <= 6
 
 
 def test_empty_and_nulls(spark):
