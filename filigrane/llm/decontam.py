@@ -32,7 +32,7 @@ from filigrane.llm.state import cut
 
 WINDOW = 10
 BLOCK_ROWS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends each document's words; no word has a space.
 END = " "
@@ -42,7 +42,7 @@ def words(text: Column) -> Column:
     """Words in order, A-Z lower-cased."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -56,7 +56,7 @@ def _counts(texts: DataFrame, wins: DataFrame) -> DataFrame:
     """(word, n): how often each word of the windows occurs in all documents."""
     vocabulary = cut(wins.select(F.explode("win").alias("word")).distinct())
     small = vocabulary.count() <= WINDOW * BLOCK_ROWS
-    every = texts.select(F.explode(words(F.col("_t"))).alias("word"))
+    every = texts.select(F.explode_outer(words(F.col("_t"))).alias("word"))  # outer: no filter that splits the text a second time
     found = every.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return vocabulary.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -71,7 +71,7 @@ def prefixes(texts: DataFrame, wins: DataFrame) -> DataFrame:
 def _hits(texts: DataFrame, wins: DataFrame) -> DataFrame:
     """(id, h, start, size, item): verified occurrences, and one row with a null item and start n_words for each document row."""
     ending = texts.sparkSession.createDataFrame([(None, [], END, 0)], wins.schema)
-    placed = texts.select("id", "h", F.concat(words(F.col("_t")), F.array(F.lit(END))).alias("w")).select("id", "h", "w", F.posexplode("w").alias("p", "word"))
+    placed = texts.select("id", "h", F.concat(words(F.col("_t")), F.array(F.lit(END))).alias("w")).select("id", "h", "w", F.posexplode_outer("w").alias("p", "word"))
     at = F.col("p") - F.col("off")
     fits = (at >= 0) & (at + F.size("win") <= F.size("w") - 1)
     same = F.when(F.size("win") == 0, True).otherwise(F.when(fits, F.slice("w", F.greatest(at, F.lit(0)) + 1, F.size("win")) == F.col("win")).otherwise(False))
