@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filigrane.llm import bpe, decontam, pii, quality_rules, secrets, simhash, toxicity
+from filigrane.llm import bpe, decontam, mil, pii, quality_rules, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontam": op5_decontam,
         "op6_toxicity": op6_toxicity,
         "op8_quality_rules": op8_quality_rules,
+        "op10_quality": op10_quality,
     }
 
 
