@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-Learning: every token of every document is counted once, by whether its
-document is labelled toxic, labelled clean (held-out rows count as unlabelled)
-or unlabelled. A term's log-odds between the two classes takes the counts over
-all documents as a Dirichlet prior, so rare terms shrink to nothing; terms
-above a z-score are the model. A term is a word or the first letters of one,
-which covers inflections that no label has shown.
+Learning: the documents that hold a term are counted over the whole corpus and
+in the two labelled classes (held-out rows count as unlabelled). A term's
+log-odds between the classes takes the counts over all documents as a Dirichlet
+prior, so rare terms shrink to nothing; the model is the terms whose z-score
+stays significant when all terms tested are allowed for (Bonferroni). A term is
+a word or the first letters of one, which covers inflections that no label has
+shown.
 
 Scoring: a document is a sequence of token scores: the log-odds of the model's
 terms, and a fixed cost for all other tokens. One linear scan (Ruzzo and Tompa)
@@ -31,6 +32,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,9 @@ from filigrane.llm.labels import remainder, training, with_labels
 from filigrane.llm.state import cut
 
 MOD, HELD_OUT = 3, 1
-PRIOR_SHARE = 0.01  # weight of the prior: this share of the corpus's tokens
-MIN_Z = 2.0
+PRIOR_SHARE = 0.02  # weight of the prior: this share of the corpus's counts
+FALSE_TERMS = 0.05  # terms that pass the significance test by chance, over all terms
+MIN_LOG_ODDS = 3.5
 MAX_TERMS = 200_000
 PREFIX = 5
 GAP_COST = -0.7  # score of a token outside the model
@@ -65,19 +68,19 @@ class Model:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), "")
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), ""))
 
 
 def _terms(text: Column) -> Column:
-    """Words of the lower-cased text and, marked by ^, the first letters of longer ones."""
+    """Distinct words of the lower-cased text and, marked by ^, the first letters of longer ones."""
     words = _words(text)
-    return F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > PREFIX), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(PREFIX)))))
+    return F.concat(words, F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > PREFIX), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(PREFIX))))))
 
 
 def count_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, n, toxic, clean): counts over all documents and over the two labelled classes."""
+    """(term, n, toxic, clean): documents with the term, in all and in the two labelled classes."""
     labelled = with_labels(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), train, "_id")
-    tokens = labelled.select("_label", F.explode(_terms(F.col("_text"))).alias("term"))
+    tokens = labelled.select("_label", F.explode_outer(_terms(F.col("_text"))).alias("term"))  # outer: no filter that splits the text a second time
     return tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("_label") == 1).alias("toxic"), F.count_if(F.col("_label") == 0).alias("clean"))
 
 
@@ -86,7 +89,7 @@ def _log_odds(counts: DataFrame, totals: dict) -> DataFrame:
     odds = lambda y, total: F.log((y + prior) / (F.lit(total + of_prior) - y - prior))
     delta = odds(F.col("toxic"), totals["toxic"]) - odds(F.col("clean"), totals["clean"])
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    return counts.where("toxic > 1").select("term", "clean", delta.alias("delta"), (delta / spread).alias("z")).where((F.col("delta") > 0) & (F.col("z") >= MIN_Z))
+    return counts.select("term", "clean", delta.alias("delta"), (delta / spread).alias("z")).where(F.col("delta") >= MIN_LOG_ODDS)
 
 
 def karlin_rate(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -108,8 +111,9 @@ def learn_terms(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     totals = {"n": sum(by.values()), "toxic": by.get(1, 0), "clean": by.get(0, 0)}
     if not totals["toxic"] or not totals["clean"]:
         return Model()
-    counts = count_terms(docs, train, id_col, text_col)
-    rows = _log_odds(counts, totals).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    counts = cut(count_terms(docs, train, id_col, text_col).where("toxic > 1"))
+    least = NormalDist().inv_cdf(1 - FALSE_TERMS / max(1, counts.count()))
+    rows = _log_odds(counts, totals).where(F.col("z") >= least).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
     model = Model()
     for r in rows:
         (model.prefixes if r.term[0] == "^" else model.words)[r.term.removeprefix("^")] = min(MAX_SCORE, r.delta)
@@ -160,8 +164,9 @@ def passages(text: str | None, model: Model) -> tuple[list[tuple[int, int, float
     """Maximal segments in token places, and the number of tokens."""
     tokens = _WORD.findall((text or "").lower())
     words, prefixes = model.words, model.prefixes
-    hits = [(i, max(words.get(w, 0.0), prefixes.get(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0)) for i, w in enumerate(tokens) if w in words or w[:PREFIX] in prefixes]
-    return segments([h for h in hits if h[1] > 0]), len(tokens)
+    known = {w: max(words.get(w, 0.0), prefixes.get(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0) for w in set(tokens) if w in words or w[:PREFIX] in prefixes}
+    hits = [(i, known[w]) for i, w in enumerate(tokens) if w in known and known[w] > 0] if known else []
+    return segments(hits), len(tokens)
 
 
 def _evidence_column(model: Model, text: Column, spark) -> Column:
