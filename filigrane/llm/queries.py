@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filigrane.llm import bpe, decontam, mil, pii, quality_rules, secrets, simhash, toxicity
+from filigrane.llm import bpe, decontam, mil, pii, quality_rules, secrets, simhash, toxicity, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_decontam": op5_decontam,
         "op6_toxicity": op6_toxicity,
+        "op7_wrapper": op7_wrapper,
         "op8_quality_rules": op8_quality_rules,
         "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
