@@ -92,11 +92,27 @@ class Coder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.tokens = {i: t for t, i in self.lib.get_vocab(with_added_tokens=True).items()}
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        self.ends = {i for i, t in self.tokens.items() if suffix and t.endswith(suffix)}
         self.joins_by_space = self.lib.decoder is None
         self.chunks, self.words = Memo(memo_mb << 18), Memo(memo_mb * 3 << 18)
 
-    def _decoded(self, encoding) -> str:
-        return " ".join(encoding.tokens) if self.joins_by_space else self.lib.decode(encoding.ids, skip_special_tokens=False)
+    def _word(self, ids: list[int]) -> tuple[str, str]:
+        decoded = " ".join([self.tokens[i] for i in ids]) if self.joins_by_space else self.lib.decode(ids, skip_special_tokens=False)
+        return " ".join(map(str, ids)), decoded
+
+    def _encode_words(self, words: list[str]) -> list[tuple[str, str]]:
+        """Each word's ids and decoded text. Words go to the library as one text and come apart at the tokens that end a word; should their number differ, one by one."""
+        out, own = [], []
+        for i in self.lib.encode(" ".join(words), add_special_tokens=False).ids:
+            own.append(i)
+            if i in self.ends:
+                out.append(self._word(own))
+                own = []
+        if own or len(out) != len(words):
+            return [self._word(e.ids) for e in self.lib.encode_batch(words, add_special_tokens=False)]
+        return out
 
     def _library(self, text: str) -> tuple[str, int, str]:
         e = self.lib.encode(text, add_special_tokens=False)
@@ -114,9 +130,9 @@ class Coder:
                 new.append(w)
             else:
                 fresh[w] = known
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-            fresh[w] = (" ".join(map(str, e.ids)), self._decoded(e))
-            self.words.put(w, fresh[w])
+        for w, made in zip(new, self._encode_words(new), strict=True):
+            fresh[w] = made
+            self.words.put(w, made)
         out = {}
         for t, ws in pieces.items():
             found = [young.get(w) or fresh[w] for w in ws]
