@@ -27,7 +27,7 @@ def labelled_sentences(rows: DataFrame, keys: list[str], threshold: float, tax:
     d = resolve(rows, tax, threshold)
     names = F.array_join(F.transform("label_ids", lambda i: name_of(i, tax)), ", ")
     active = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(F.col(k), F.lit(0.0)) >= threshold, k) for k in tax.labels])), "; ")
-    return d.select(*keys, "primary_id", name_of(F.col("primary_id"), tax).alias("primary_label"), F.round("primary_score", 4).alias("primary_score"), "tier", names.alias("labels"), active.alias("active"), top_scores(tax).alias("top"), *[F.col(k).alias(f"prob_{k}") for k in tax.labels])
+    return d.select(*keys, "primary_id", name_of(F.col("primary_id"), tax).alias("primary_label"), F.round("primary_score", 6).alias("primary_score"), "tier", names.alias("labels"), active.alias("active"), top_scores(tax).alias("top"), *[F.col(k).alias(f"prob_{k}") for k in tax.labels])
 
 
 def top_scores(tax: Taxonomy = FINANCE, n: int = 5, digits: int = 3) -> Column:
