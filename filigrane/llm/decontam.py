@@ -117,7 +117,7 @@ def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated documents."""
     bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_h"]), "left_anti")
 
 
 ORACLE = r"""

@@ -50,7 +50,7 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_clean_and_empty(spark):
     passage = " ".join(f"w{i}" for i in range(12))
-    d = spark.createDataFrame([(1, "lead " + passage, "en"), (2, "other text", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(1, "lead " + passage, "en", 1), (2, "other text", "en", 1), (None, None, None, None)], "doc_id long, text string, _id string, _h int")
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
     kept = decontam.clean(d, b)
     assert kept.columns == d.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
