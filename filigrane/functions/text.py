@@ -75,6 +75,11 @@ def keyword_counts(text: Column, words: list[str]) -> Column:
     return F.create_map(*[x for w in words for x in (F.lit(w), word_count(text, w))])
 
 
+def grouped_counts(counts: Column, groups: dict[str, list[str]]) -> list[Column]:
+    """Sums of a map of counts over each group's keywords, as columns named by the group."""
+    return [sum((F.coalesce(counts[w], F.lit(0)) for w in words), F.lit(0)).alias(g) for g, words in groups.items()]
+
+
 def weighted_score(text: Column, weights: dict[str, float], floor: Column | None = None) -> Column:
     """tanh of the weighted keyword counts, three decimals, and not below floor."""
     total = F.lit(0.0)

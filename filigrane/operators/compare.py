@@ -119,6 +119,15 @@ def delta(before: DataFrame, after: DataFrame, key: str, measures: list[str]) ->
     return a.join(b, key).select(key, *[c for m in measures for c in (f"{m}_before", f"{m}_after", F.round(F.col(f"{m}_after") - F.col(f"{m}_before"), 2).alias(f"{m}_gain"))])
 
 
+def metrics_union(summaries: dict[str, DataFrame]) -> DataFrame:
+    """Summaries one below the other with the name of each; a category loses what follows in brackets."""
+    parts = [d.withColumn("file", F.lit(name)) for name, d in summaries.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("category", F.trim(F.regexp_replace("category", r"\s*\(.*\)", "")))
+
+
 def multi_label_scores(df: DataFrame, labels: list[str], threshold: float = 0.5) -> DataFrame:
     """Micro F1, share of rows with every label right, and label accuracy of <label>_truth against <label>_score."""
     t = {k: F.col(f"{k}_truth") >= threshold for k in labels}

@@ -103,6 +103,16 @@ def first_label(joined: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(joined, ", "), 1), F.lit("")), F.lit("Irrelevant"))
 
 
+def review_sheet(rows: DataFrame, fixed: list[str], blank: tuple[str, ...] = ("reviewer_label", "reviewer_note")) -> DataFrame:
+    """Fixed columns, empty ones for a reviewer, then the model's flags by name."""
+    return rows.select(*fixed, *[F.lit("").alias(c) for c in blank], *sorted(c for c in rows.columns if c.startswith("model_")))
+
+
+def label_vector(label_map: Column, labels: tuple[str, ...]) -> Column:
+    """A map of labels as an array in fixed order; a missing label is 0."""
+    return F.array(*[F.coalesce(label_map[k], F.lit(0)) for k in labels])
+
+
 def priority_columns(df: DataFrame, first: list[str]) -> DataFrame:
     """Named columns first, the rest in order of name."""
     head = [c for c in first if c in df.columns]

@@ -368,6 +368,12 @@ def multi_label_scores(spark, sf_dir):
     return compare.multi_label_scores(j.select(F.col("quality").alias("q_truth"), F.col("toxic").alias("x_truth"), long(500).alias("q_score"), long(3000).alias("x_score")), ["q", "x"])
 
 
+@query(f"""{BASE}, {CONFUSION} SELECT trim(regexp_replace(category, '\\s*\\(.*\\)', '')) AS category, f AS file, total, accuracy FROM (SELECT *, {_METRICS} FROM conf), (SELECT unnest(['a', 'b']) AS f)""")
+def metrics_union(spark, sf_dir):
+    m = compare.metrics(compare.confusion(demo.merged(spark, sf_dir))).select("category", "total", "accuracy")
+    return compare.metrics_union({"a": m, "b": m})
+
+
 # Matrices and selections --------------------------------------------------------------------------
 
 
@@ -519,6 +525,35 @@ def paired_by_place(spark, sf_dir):
     return lists.select("conv_id", F.size(report.paired(F.col("a"), F.col("b"))).alias("pairs"))
 
 
+@query(f"{BASE} SELECT cik, year, '' AS reviewer_label, '' AS reviewer_note, {', '.join(sorted(MODEL_COLUMNS))} FROM model")
+def review_sheet(spark, sf_dir):
+    return report.review_sheet(demo.model(spark, sf_dir), ["cik", "year"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN (props::JSON->>'k')::BIGINT ELSE 0 END AS c, CASE WHEN event_type = 'view' THEN (props::JSON->>'k')::BIGINT ELSE 0 END AS v FROM events")
+def label_vector(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    m = F.create_map("event_type", F.from_json("props", "k long")["k"])
+    return e.select("event_id", report.label_vector(m, ("click", "view")).alias("x")).select("event_id", F.get("x", F.lit(0)).alias("c"), F.get("x", F.lit(1)).alias("v"))
+
+
+@query("SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS k, sum(CASE WHEN (props::JSON->>'k')::BIGINT > 3 THEN 1 ELSE 0 END)::BIGINT AS large FROM events GROUP BY event_type")
+def json_sums(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,long>")["k"].alias("k"))
+    return e.groupBy("event_type").agg(F.sum("k").alias("k"), F.count_if(F.col("k") > 3).alias("large"))
+
+
+@query("SELECT 'S' || s_suppkey || chr(9) || s_name AS value FROM supplier")
+def text_export(spark, sf_dir):
+    return tables.text_lines(table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("k"), "s_name"), ["k", "s_name"])
+
+
+@query("SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN s_name ELSE n_name END AS s_name FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")
+def updated_names(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("s_suppkey"), F.col("n_name").alias("s_name"))
+    return tables.update(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), n, ["s_suppkey"])
+
+
 # Samples --------------------------------------------------------------------------------------------
 
 _ORDER = "md5('42-' || vec_id)"
@@ -603,6 +638,13 @@ def keyword_counts(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", *[text.word_count(F.col("text"), w).cast("long").alias(f"n_{w}") for w in _WORDS])
 
 
+@query("WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> ''), '  ') || ' ' AS t FROM documents), n AS (SELECT doc_id, " + ", ".join(f"(length(t) - length(replace(t, ' {w} ', '')))::BIGINT // {len(w) + 2} AS n_{w}" for w in _WORDS) + " FROM w) SELECT doc_id, n_the + n_and AS common, n_license + n_version AS legal FROM n")
+def keyword_groups(spark, sf_dir):
+    groups = {"common": ["the", "and"], "legal": ["license", "version"]}
+    d = _documents(spark, sf_dir).select("doc_id", text.keyword_counts(F.col("text"), list(_WORDS)).alias("m"))
+    return d.select("doc_id", *[c.cast("long").alias(g) for g, c in zip(groups, text.grouped_counts(F.col("m"), groups), strict=True)])
+
+
 @query("WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> ''), '  ') || ' ' AS t FROM documents) SELECT doc_id, greatest(round(tanh((length(t) - length(replace(t, ' license ', ''))) // 9 * 0.3 + (length(t) - length(replace(t, ' the ', ''))) // 5 * 0.01), 3), 0.1) AS score FROM w")
 def weighted_score(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.weighted_score(F.col("text"), {"license": 0.3, "the": 0.01}, F.lit(0.1)).alias("score"))

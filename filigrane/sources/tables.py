@@ -72,6 +72,31 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
 
 
+def update(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of changes replaced where a key matches; a key given twice in changes is an error of the caller."""
+    new = [c for c in changes.columns if c not in keys]
+    renamed = changes.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in new])
+    joined = df.join(renamed, keys, "left")
+    return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+
+
+def copy(df: DataFrame, folder: str, table: str) -> None:
+    """The table replaced by df, which must not read it."""
+    df.write.mode("overwrite").parquet(f"{folder}/{table}")
+
+
+def text_lines(rows: DataFrame, columns: list[str], n: int | None = None) -> DataFrame:
+    """Rows as tab-separated lines for a text sink; tabs and line breaks inside a value become spaces."""
+    cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " "), F.lit("")) for c in columns]
+    out = rows.select(F.concat_ws("\t", *cells).alias("value"))
+    return out.limit(n) if n is not None else out
+
+
+def write_by(rows: DataFrame, folder: str, column: str) -> None:
+    """One Parquet folder a value; rows of a value are brought together first, so files stay few."""
+    rows.repartition(column).write.mode("overwrite").partitionBy(column).parquet(folder)
+
+
 def write_bundle(bundle: dict[str, DataFrame], folder: str) -> None:
     """One Parquet folder a frame, named as a sheet would be; empty names are refused."""
     for name, df in bundle.items():
