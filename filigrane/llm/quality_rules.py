@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 WINDOW = 8
 MIN_WORDS = 20
@@ -66,7 +66,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     d = d.select(
         id_col,
-        F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"),
+        F.array_remove(F.split("_t", SPACE), "").alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda line: line.rlike(WORD)).alias("_lines"),
         F.length(F.regexp_replace("_t", NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
     )
