@@ -249,28 +249,26 @@ def extract(pages: list[str | None]) -> list[str]:
     trees = [parse(h or "") for h in pages]
     shapes = [shape(t) for t in trees]
     found = [blocks(t) for t in trees]
-    template: set[tuple[tuple, str]] = set()
     slots: dict[tuple, dict[tuple, tuple]] = {}
-    # Only pages that leave a choice, with wanted text outside a marked article, are aligned.
-    open_pages = [i for i, f in enumerate(found) if not any(a and not d for _, _, d, a in f)]
-    if len(open_pages) >= MIN_PAGES:
-        usual = Counter(shapes[i] for i in open_pages).most_common(1)[0][0]
-        slots = {s: align(usual, s) for s in {shapes[i] for i in open_pages}}
-        pages_with: Counter = Counter()
-        repeated: Counter = Counter()
-        for i in open_pages:
-            place = slots[shapes[i]]
-            own = {(place[slot], text) for slot, text, _, _ in found[i] if slot in place}
-            repeated.update(own)
-            pages_with.update({at for at, _ in own})
-        template = {(at, text) for (at, text), n in repeated.items() if n >= max(MIN_PAGES, CONSTANT_SHARE * pages_with[at])}
+    pages_with, repeated, marked = Counter(), Counter(), Counter()
+    if len(pages) >= MIN_PAGES:
+        usual = Counter(shapes).most_common(1)[0][0]
+        slots = {s: align(usual, s) for s in set(shapes)}
+    for s, f in zip(shapes, found, strict=True):
+        place = slots.get(s, {})
+        own = {(place[slot], text) for slot, text, _, _ in f if slot in place}
+        repeated.update(own)
+        pages_with.update({at for at, _ in own})
+        marked.update({place[slot] for slot, _, drop, article in f if article and not drop and slot in place})
+    usually = lambda n, at: n >= max(MIN_PAGES, CONSTANT_SHARE * pages_with[at])
+    template = {(at, text) for (at, text), n in repeated.items() if usually(n, at)}
+    content = {at for at, n in marked.items() if usually(n, at)}
     out = []
-    for i, f in enumerate(found):
-        if any(a and not d for _, _, d, a in f):
-            out.append("\n".join([t for _, t, d, a in f if a and not d]))
-            continue
-        place = slots.get(shapes[i], {})
-        out.append("\n".join([t for slot, t, d, _ in f if not d and (place.get(slot), t) not in template]))
+    for s, f in zip(shapes, found, strict=True):
+        place = slots.get(s, {})
+        wanted = [(place.get(slot), text, article) for slot, text, drop, article in f if not drop]
+        own = [text for _, text, article in wanted if article] or [text for at, text, _ in wanted if at in content]
+        out.append("\n".join(own or [text for at, text, _ in wanted if (at, text) not in template]))
     return out
 
 

@@ -20,6 +20,13 @@ def test_template_is_learned_without_marks():
     assert wrapper.extract(pages) == ["\n".join(t) for t in texts]
 
 
+def test_unmarked_page_of_a_marked_host():
+    body = lambda i, tag: f"<div><section><p>Teaser {i} of the day</p></section><{tag}><h2>Head {i}</h2><p>text {i}</p></{tag}></div>"
+    pages = [body(i, "main") for i in range(6)]
+    assert wrapper.extract(pages)[2] == "Head 2\ntext 2"
+    assert wrapper.extract(pages[:2]) == ["Head 0\ntext 0", "Head 1\ntext 1"]
+
+
 def test_copies_of_an_article_stay():
     html = page(2, "<article><h1>Same</h1><p>text of all</p></article>")
     assert wrapper.extract([html] * 20) == ["Same\ntext of all"] * 20
