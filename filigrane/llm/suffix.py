@@ -19,8 +19,12 @@ a run, and the bytes they span are its context.
    earliest of a class stays.
 4. Documents meet their removed ranges, and what is left is hashed.
 
-Grams of very many contexts (over ``HOT_CONTEXTS`` in a bucket) aren't sorted in
-one task: their windows are hashed one by one and spread by window.
+Grams of very many contexts aren't gathered in one task. A sample of
+``SAMPLE_DOCS`` documents names those that at least ``SAMPLE_CONTEXTS`` different
+contexts share in it; their windows are hashed one by one, each task keeps the
+earliest of equal ones, and the rest spread by window. What the sample misses
+and a bucket then finds (over ``HOT_CONTEXTS``) goes the same way one step later. The
+sample steers load only; results don't depend on it.
 
 Memory: tasks hold a few MB of text or one bucket's arrays; the number of
 buckets follows the bytes of the input. No list of documents, grams or windows
@@ -28,7 +32,8 @@ reaches the driver.
 
 Edge cases: documents count in the order of id, rows of one id in the order of
 the table; a null id is the largest, a null text is empty. Texts under LENGTH
-bytes lose nothing. Only the id and text columns are read.
+bytes lose nothing. Only the id and text columns are read. The table must give
+its rows in the same order when it is read again, as stored tables do.
 """
 
 from __future__ import annotations
@@ -45,6 +50,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 100, 32
 SHALLOW = 48
 HOT_CONTEXTS = 50_000
+SAMPLE_DOCS, SAMPLE_CONTEXTS = 4_000, 24
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES, PART_BYTES, LEAST_TASKS = 12 << 20, 16 << 20, 8
 NO_ID = (1 << 63) - 1
@@ -89,12 +95,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+def window_hashes(hashes: Hashes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window: two hashes."""
+    return hashes(start, start + LENGTH), _mix(hashes(start, start + LENGTH // 2) ^ np.uint64(_BASE))
+
+
+def _stretches(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the closed ranges, and the range of each."""
+    count = last - first + 1
+    which = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which], which
+
+
+def anchors(a: np.ndarray, begin: np.ndarray, size: np.ndarray, hashes: Hashes | None = None) -> dict[str, np.ndarray]:
     """Anchors of all windows of the documents laid end to end in a: doc (index), at, first and last window start (in a), gram and context hashes."""
     n = len(a)
     if n < LENGTH:
         return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("at", np.int64), ("first", np.int64), ("last", np.int64), ("gram", np.uint64), ("context", np.uint64))}
-    hashes = Hashes(a)
+    hashes = hashes or Hashes(a)
     where = np.arange(n - GRAM + 1)
     gram = hashes(where, where + GRAM)
     low = np.uint64((1 << max(1, n.bit_length())) - 1)
@@ -177,18 +195,31 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield np.array(ids, np.int64), np.array(rows, np.int64), texts
 
 
-def _find_anchors(buckets: int, parts: int):
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, and where each begins and how long it is."""
+    size = np.array([len(t) for t in texts])
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size
+
+
+def _find_anchors(buckets: int, parts: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows, texts in _batches(batches):
-            size = np.array([len(t) for t in texts])
-            begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            x = anchors(np.frombuffer(b"".join(texts), np.uint8), begin, size)
+            a, begin, size = _laid_out(texts)
+            hashes = Hashes(a)
+            x = anchors(a, begin, size, hashes)
+            found: list = []
+            many = np.isin(x["gram"], hot)
+            if many.any():
+                start, which = _stretches(x["first"][many], x["last"][many])
+                d = x["doc"][many][which]
+                found += _spread(buckets, parts, *window_hashes(hashes, start), ids[d], rows[d], (start - begin[d]).astype(np.int32))
+                x = {k: v[~many] for k, v in x.items()}
             doc, base = x["doc"], begin[x["doc"]]
             order = np.lexsort((x["at"], rows[doc], ids[doc], x["context"], x["gram"]))
             gram, context = x["gram"][order], x["context"][order]
             again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]))) if len(order) else np.zeros(0, bool)
             gone, kept = order[again], np.sort(order[~again])
-            found = list(_ranges(parts, ids[doc[gone]], rows[doc[gone]], (x["first"] - base)[gone], (x["last"] - base)[gone] + LENGTH))
+            found += _ranges(parts, ids[doc[gone]], rows[doc[gone]], (x["first"] - base)[gone], (x["last"] - base)[gone] + LENGTH)
             at, d = (x["at"] - base)[kept].astype(np.int32), doc[kept]
             to = (x["gram"][kept] >> np.uint64(8)) % np.uint64(buckets)
             found += _dealt(0, to.astype(np.int64), x["gram"][kept], x["context"][kept], ids[d], rows[d], at, (x["at"] - x["first"])[kept].astype(np.uint8), (x["last"] - x["first"])[kept].astype(np.uint8))
@@ -198,11 +229,44 @@ def _find_anchors(buckets: int, parts: int):
     return run
 
 
+def _later(h: np.ndarray, half: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows by their hashes: places of the earliest of each kind, and of the others."""
+    order = np.lexsort((start, row, ids, half, h))
+    again = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (half[order][1:] == half[order][:-1]))) if len(order) else np.zeros(0, bool)
+    return order[~again], order[again]
+
+
+def _spread(buckets: int, parts: int, h: np.ndarray, half: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Windows dealt out by their hash, of equal ones the earliest; the others' ranges."""
+    first, again = _later(h, half, ids, row, start)
+    yield from _merged(parts, ids[again], row[again], start[again])
+    yield from _dealt(5, (h[first] % np.uint64(buckets)).astype(np.int64), h[first], half[first], ids[first], row[first], start[first])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, context) of every anchor, each pair once a batch."""
+    for _, _, texts in _batches(batches):
+        x = anchors(*_laid_out(texts))
+        pairs = np.unique(np.stack([x["gram"], x["context"]], 1), axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["gram", "context"])
+
+
+def hot_grams(d: DataFrame, rows: int) -> np.ndarray:
+    """Grams with many different contexts in a sample; at most the sample's anchors over SAMPLE_CONTEXTS."""
+    share = min(1.0, SAMPLE_DOCS / max(1, rows))
+    part = d.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    pairs = part.mapInArrow(_sampled, "gram long, context long").distinct()
+    found = pairs.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_CONTEXTS).select("gram").collect()
+    return np.sort(np.array([r.gram for r in found], np.int64).view(np.uint64))
+
+
 def _settle_contexts(parts: int):
     """A bucket's anchors: removed ranges of contexts that are equal as a whole, and the contexts to compare in part."""
 
     def run(table: pa.Table) -> pa.Table:
         gram, context, ids, row, at, before, span = _gathered(table.column("data").to_pylist(), _ANCHOR)
+        if not len(gram):
+            return pa.Table.from_batches([_rows([])])
         order = np.lexsort((at, row, ids, context, gram))
         gram, context, ids, row, at, before, span = (x[order] for x in (gram, context, ids, row, at, before, span))
         same_gram = np.concatenate(([False], gram[1:] == gram[:-1]))
@@ -248,7 +312,7 @@ def _by_row(row: np.ndarray) -> dict[int, tuple[int, int]]:
     return {int(row[s]): (int(s), int(e)) for s, e in zip(edges[:-1], edges[1:], strict=True)}
 
 
-def _fetch_contexts(buckets: int):
+def _fetch_contexts(buckets: int, parts: int):
     """Bytes of the contexts to compare; of hot grams, the hash of every window."""
 
     def run(docs: pa.Table, edges: pa.Table) -> pa.Table:
@@ -266,15 +330,13 @@ def _fetch_contexts(buckets: int):
             for k, (x, y) in enumerate(zip(first.tolist(), end.tolist(), strict=True), s):
                 text[k, : y - x] = a[x:y]
             if hot[s:e].any():
-                h = Hashes(a)
-                starts = np.concatenate([np.arange(x, y - LENGTH + 1) for x, y in zip(first[hot[s:e]], end[hot[s:e]], strict=True)])
-                seen.append([h(starts, starts + LENGTH), _mix(h(starts, starts + LENGTH // 2) ^ np.uint64(_BASE)), np.full(len(starts), ids[s]), np.full(len(starts), r), starts.astype(np.int32)])
+                starts, _ = _stretches(first[hot[s:e]], end[hot[s:e]] - LENGTH)
+                seen.append([*window_hashes(Hashes(a), starts), np.full(len(starts), ids[s]), np.full(len(starts), r), starts.astype(np.int32)])
         cold = ~hot
         to = ((gram >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         found += [(b, 4, blob) for b, _, blob in _dealt(4, to[cold], gram[cold], ids[cold], row[cold], at[cold], before[cold], span[cold], text[cold].reshape(-1).view(f"V{2 * LENGTH}") if cold.any() else np.zeros(0, f"V{2 * LENGTH}"))]
         if seen:
-            h, half, i, r, start = (np.concatenate([x[k] for x in seen]) for k in range(5))
-            found += [(b, 5, blob) for b, _, blob in _dealt(5, (h % np.uint64(buckets)).astype(np.int64), h, half, i, r, start)]
+            found += _spread(buckets, parts, *(np.concatenate([x[k] for x in seen]) for k in range(5)))
         return pa.Table.from_batches([_rows(found)])
 
     return run
@@ -420,8 +482,7 @@ def _settle_windows(parts: int):
             which, start = repeated_windows(gram, at, before, span, np.ascontiguousarray(text).view(np.uint8).reshape(len(order), 2 * LENGTH))
             found += _merged(parts, ids[which], row[which], start)
         h, half, ids, row, start = _gathered([b for k, b in zip(kinds, blobs, strict=True) if k == 5], _WINDOW)
-        order = np.lexsort((start, row, ids, half, h))
-        again = order[np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (half[order][1:] == half[order][:-1])))] if len(order) else order
+        _, again = _later(h, half, ids, row, start)
         found += _merged(parts, ids[again], row[again], start[again])
         return pa.Table.from_batches([_rows(found)])
 
@@ -472,17 +533,17 @@ def _finish_text(docs: pa.Table, ranges: pa.Table) -> pa.Table:
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
     buckets, parts = (max(LEAST_TASKS, -(-total // size)) for size in (BUCKET_BYTES, PART_BYTES))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    deal = lambda df, kind: df.where(F.col("kind") == kind).groupBy("to")
-    first = d.mapInArrow(_find_anchors(buckets, parts), _ROWS)
+    deal = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).groupBy("to")
+    first = d.mapInArrow(_find_anchors(buckets, parts, hot_grams(d, rows)), _ROWS)
     settled = deal(first, 0).applyInArrow(_settle_contexts(parts), _ROWS)
     packed = d.mapInArrow(_pack_documents(parts), _ROWS).groupBy("to")
-    contexts = packed.cogroup(deal(settled, 2)).applyInArrow(_fetch_contexts(buckets), _ROWS)
-    compared = contexts.groupBy("to").applyInArrow(_settle_windows(parts), _ROWS)
-    ranges = first.where("kind = 1").union(settled.where("kind = 1")).union(compared.where("kind = 1"))
-    return packed.cogroup(ranges.groupBy("to")).applyInArrow(finish, schema)
+    contexts = packed.cogroup(deal(settled, 2)).applyInArrow(_fetch_contexts(buckets, parts), _ROWS)
+    compared = deal(first.union(contexts), 4, 5).applyInArrow(_settle_windows(parts), _ROWS)
+    ranges = deal(first.union(settled).union(contexts).union(compared), 1)
+    return packed.cogroup(ranges).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,14 +45,10 @@ def made():
 
 @pytest.mark.parametrize("hot", [10**9, 1])
 def test_equals_definition(spark, monkeypatch, hot):
+    """hot: different contexts in the sample that make a gram hot, here none or all."""
     rows = made()
-    monkeypatch.setattr(suffix, "BATCH_BYTES", 20_000)
-    monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(suffix, "SAMPLE_CONTEXTS", hot)
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, row int, data string").coalesce(1)
-    import sys
-
-    module = sys.modules[suffix.__name__]
-    assert module.HOT_CONTEXTS == hot
     got = sorted(((-1 if r[0] is None else r[0]), *r[1:]) for r in suffix.digests(df).collect())
     assert got == brute(rows)
 
@@ -63,7 +59,7 @@ def test_settling_in_one_process(monkeypatch):
 
     rows = made()
     want = brute(rows)
-    for hot, size in ((10**9, 3_000), (1, 3_000), (10**9, 10**7)):
+    for hot, size, spread in ((10**9, 3_000, False), (1, 3_000, False), (10**9, 10**7, False), (10**9, 3_000, True), (1, 3_000, True), (1, 10**7, True)):
         monkeypatch.setattr(suffix, "BATCH_BYTES", size)
         monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
         batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "row", "text"])
@@ -71,12 +67,13 @@ def test_settling_in_one_process(monkeypatch):
         of = lambda t, kind: t.filter(pa.compute.equal(t["kind"], kind))
         import pyarrow.compute  # noqa: F401
 
-        first = table(suffix._find_anchors(1, 1)([batch]))
+        grams = suffix.anchors(*suffix._laid_out([(r[1] or "").encode() for r in rows]))["gram"]
+        first = table(suffix._find_anchors(1, 1, np.sort(grams[:: 1 if size == 10**7 else 2]) if spread else grams[:0])([batch]))
         settled = suffix._settle_contexts(1)(of(first, 0))
         packed = table(suffix._pack_documents(1)([batch]))
-        contexts = suffix._fetch_contexts(1)(packed, of(settled, 2))
-        compared = suffix._settle_windows(1)(contexts)
-        ranges = pa.concat_tables([of(t, 1) for t in (first, settled, compared)])
+        contexts = suffix._fetch_contexts(1, 1)(packed, of(settled, 2))
+        compared = suffix._settle_windows(1)(pa.concat_tables([of(contexts, 4), of(contexts, 5), of(first, 5)]))
+        ranges = pa.concat_tables([of(t, 1) for t in (first, settled, contexts, compared)])
         out = suffix._finish(packed, ranges).to_pylist()
         assert sorted((-1 if r["id"] is None else r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == want
 
