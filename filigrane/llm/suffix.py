@@ -174,8 +174,18 @@ def _part(row: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _ranges(parts: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    return _dealt(1, _part(row, parts), ids, row, start.astype(np.int32), end.astype(np.int32))
+#: Kinds of rows. Each step deals all its rows by the key of the next one and hands on what it doesn't use, so every step is computed once.
+ANCHORS, EDGES, DOCUMENTS, CONTEXTS, WINDOWS, RANGES = range(6)
+
+
+def _of(table: pa.Table, kind: int, types: tuple) -> list[np.ndarray]:
+    kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
+    return _gathered([b for k, b in zip(kinds, blobs, strict=True) if k == kind], types)
+
+
+def _ranges(targets: int, parts: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Removed ranges on their way to their documents' part, by way of that many targets."""
+    return _dealt(RANGES, _part(row, parts) % targets, ids, row, start.astype(np.int32), end.astype(np.int32))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -219,10 +229,10 @@ def _find_anchors(buckets: int, parts: int, hot: np.ndarray):
             gram, context = x["gram"][order], x["context"][order]
             again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]))) if len(order) else np.zeros(0, bool)
             gone, kept = order[again], np.sort(order[~again])
-            found += _ranges(parts, ids[doc[gone]], rows[doc[gone]], (x["first"] - base)[gone], (x["last"] - base)[gone] + LENGTH)
+            found += _ranges(buckets, parts, ids[doc[gone]], rows[doc[gone]], (x["first"] - base)[gone], (x["last"] - base)[gone] + LENGTH)
             at, d = (x["at"] - base)[kept].astype(np.int32), doc[kept]
             to = (x["gram"][kept] >> np.uint64(8)) % np.uint64(buckets)
-            found += _dealt(0, to.astype(np.int64), x["gram"][kept], x["context"][kept], ids[d], rows[d], at, (x["at"] - x["first"])[kept].astype(np.uint8), (x["last"] - x["first"])[kept].astype(np.uint8))
+            found += _dealt(ANCHORS, to.astype(np.int64), x["gram"][kept], x["context"][kept], ids[d], rows[d], at, (x["at"] - x["first"])[kept].astype(np.uint8), (x["last"] - x["first"])[kept].astype(np.uint8))
             if found:
                 yield _rows(found)
 
@@ -236,11 +246,11 @@ def _later(h: np.ndarray, half: np.ndarray, ids: np.ndarray, row: np.ndarray, st
     return order[~again], order[again]
 
 
-def _spread(buckets: int, parts: int, h: np.ndarray, half: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _spread(targets: int, parts: int, h: np.ndarray, half: np.ndarray, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Windows dealt out by their hash, of equal ones the earliest; the others' ranges."""
     first, again = _later(h, half, ids, row, start)
-    yield from _merged(parts, ids[again], row[again], start[again])
-    yield from _dealt(5, (h[first] % np.uint64(buckets)).astype(np.int64), h[first], half[first], ids[first], row[first], start[first])
+    yield from _merged(targets, parts, ids[again], row[again], start[again])
+    yield from _dealt(WINDOWS, (h[first] % np.uint64(targets)).astype(np.int64), h[first], half[first], ids[first], row[first], start[first])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,20 +274,21 @@ def _settle_contexts(parts: int):
     """A bucket's anchors: removed ranges of contexts that are equal as a whole, and the contexts to compare in part."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram, context, ids, row, at, before, span = _gathered(table.column("data").to_pylist(), _ANCHOR)
+        found = [*_ranges(parts, parts, *_of(table, RANGES, _RANGE)), *_spread(parts, parts, *_of(table, WINDOWS, _WINDOW))]
+        gram, context, ids, row, at, before, span = _of(table, ANCHORS, _ANCHOR)
         if not len(gram):
-            return pa.Table.from_batches([_rows([])])
+            return pa.Table.from_batches([_rows(found)])
         order = np.lexsort((at, row, ids, context, gram))
         gram, context, ids, row, at, before, span = (x[order] for x in (gram, context, ids, row, at, before, span))
         same_gram = np.concatenate(([False], gram[1:] == gram[:-1]))
         again = same_gram & np.concatenate(([False], context[1:] == context[:-1]))
         first = at - before
-        found = list(_ranges(parts, ids[again], row[again], first[again], first[again] + span[again] + LENGTH))
+        found += _ranges(parts, parts, ids[again], row[again], first[again], first[again] + span[again] + LENGTH)
         heads = np.flatnonzero(~again)
         group = np.cumsum(~same_gram)[heads]
         count = np.bincount(group)[group] if len(heads) else group
         edge, hot = heads[count > 1], (count > HOT_CONTEXTS)[count > 1]
-        found += [(to, 2, blob) for to, _, blob in _dealt(2, _part(row[edge], parts), gram[edge], ids[edge], row[edge], at[edge], before[edge], span[edge], hot)]
+        found += _dealt(EDGES, _part(row[edge], parts), gram[edge], ids[edge], row[edge], at[edge], before[edge], span[edge], hot)
         return pa.Table.from_batches([_rows(found)])
 
     return run
@@ -290,7 +301,7 @@ def _pack_documents(parts: int):
             for part in np.unique(to):
                 own = np.flatnonzero(to == part)
                 head = pack(ids[own], rows[own], np.array([len(texts[i]) for i in own], np.int64))
-                found.append((int(part), 3, len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join([texts[i] for i in own]), 1)))
+                found.append((int(part), DOCUMENTS, len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join([texts[i] for i in own]), 1)))
             yield _rows(found)
 
     return run
@@ -316,10 +327,11 @@ def _fetch_contexts(buckets: int, parts: int):
     """Bytes of the contexts to compare; of hot grams, the hash of every window."""
 
     def run(docs: pa.Table, edges: pa.Table) -> pa.Table:
-        gram, ids, row, at, before, span, hot = _gathered(edges.column("data").to_pylist(), _EDGE)
+        found = [*_ranges(buckets, parts, *_of(edges, RANGES, _RANGE)), *_spread(buckets, parts, *_of(edges, WINDOWS, _WINDOW))]
+        gram, ids, row, at, before, span, hot = _of(edges, EDGES, _EDGE)
         order = np.argsort(row, kind="stable")
         gram, ids, row, at, before, span, hot = (x[order] for x in (gram, ids, row, at, before, span, hot))
-        text, found, places = np.zeros((len(row), 2 * LENGTH), np.uint8), [], _by_row(row)
+        text, places = np.zeros((len(row), 2 * LENGTH), np.uint8), _by_row(row)
         seen: list[list[np.ndarray]] = []
         for _, r, t in _documents(docs):
             if r not in places:
@@ -334,7 +346,7 @@ def _fetch_contexts(buckets: int, parts: int):
                 seen.append([*window_hashes(Hashes(a), starts), np.full(len(starts), ids[s]), np.full(len(starts), r), starts.astype(np.int32)])
         cold = ~hot
         to = ((gram >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-        found += [(b, 4, blob) for b, _, blob in _dealt(4, to[cold], gram[cold], ids[cold], row[cold], at[cold], before[cold], span[cold], text[cold].reshape(-1).view(f"V{2 * LENGTH}") if cold.any() else np.zeros(0, f"V{2 * LENGTH}"))]
+        found += _dealt(CONTEXTS, to[cold], gram[cold], ids[cold], row[cold], at[cold], before[cold], span[cold], text[cold].reshape(-1).view(f"V{2 * LENGTH}") if cold.any() else np.zeros(0, f"V{2 * LENGTH}"))
         if seen:
             found += _spread(buckets, parts, *(np.concatenate([x[k] for x in seen]) for k in range(5)))
         return pa.Table.from_batches([_rows(found)])
@@ -473,23 +485,22 @@ def _settle_windows(parts: int):
     """A bucket's contexts, and hot windows by their hash: removed ranges."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        gram, ids, row, at, before, span, text = _gathered([b for k, b in zip(kinds, blobs, strict=True) if k == 4], _CONTEXT)
+        found = list(_ranges(parts, parts, *_of(table, RANGES, _RANGE)))
+        gram, ids, row, at, before, span, text = _of(table, CONTEXTS, _CONTEXT)
         order = np.lexsort((at, row, ids))
         gram, ids, row, at, before, span, text = (x[order] for x in (gram, ids, row, at, before, span, text))
-        found: list = []
         if len(order):
             which, start = repeated_windows(gram, at, before, span, np.ascontiguousarray(text).view(np.uint8).reshape(len(order), 2 * LENGTH))
-            found += _merged(parts, ids[which], row[which], start)
-        h, half, ids, row, start = _gathered([b for k, b in zip(kinds, blobs, strict=True) if k == 5], _WINDOW)
+            found += _merged(parts, parts, ids[which], row[which], start)
+        h, half, ids, row, start = _of(table, WINDOWS, _WINDOW)
         _, again = _later(h, half, ids, row, start)
-        found += _merged(parts, ids[again], row[again], start[again])
+        found += _merged(parts, parts, ids[again], row[again], start[again])
         return pa.Table.from_batches([_rows(found)])
 
     return run
 
 
-def _merged(parts: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _merged(targets: int, parts: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Ranges of runs of adjacent window starts."""
     if not len(row):
         return []
@@ -498,12 +509,12 @@ def _merged(parts: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray) ->
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)))
     head = np.flatnonzero(new)
     tail = np.append(head[1:] - 1, len(row) - 1)
-    return list(_ranges(parts, ids[head], row[head], start[head], start[tail] + LENGTH))
+    return list(_ranges(targets, parts, ids[head], row[head], start[head], start[tail] + LENGTH))
 
 
 def _remove(docs: pa.Table, ranges: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Each document's id, bytes and mask of what goes."""
-    _, row, start, end = _gathered(ranges.column("data").to_pylist(), _RANGE)
+    _, row, start, end = _of(ranges, RANGES, _RANGE)
     order = np.argsort(row, kind="stable")
     row, start, end = row[order], start[order], end[order]
     places = _by_row(row)
@@ -536,14 +547,12 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> D
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
     buckets, parts = (max(LEAST_TASKS, -(-total // size)) for size in (BUCKET_BYTES, PART_BYTES))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    deal = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).groupBy("to")
     first = d.mapInArrow(_find_anchors(buckets, parts, hot_grams(d, rows)), _ROWS)
-    settled = deal(first, 0).applyInArrow(_settle_contexts(parts), _ROWS)
     packed = d.mapInArrow(_pack_documents(parts), _ROWS).groupBy("to")
-    contexts = packed.cogroup(deal(settled, 2)).applyInArrow(_fetch_contexts(buckets, parts), _ROWS)
-    compared = deal(first.union(contexts), 4, 5).applyInArrow(_settle_windows(parts), _ROWS)
-    ranges = deal(first.union(settled).union(contexts).union(compared), 1)
-    return packed.cogroup(ranges).applyInArrow(finish, schema)
+    settled = first.groupBy("to").applyInArrow(_settle_contexts(parts), _ROWS)
+    contexts = packed.cogroup(settled.groupBy("to")).applyInArrow(_fetch_contexts(buckets, parts), _ROWS)
+    ranges = contexts.groupBy("to").applyInArrow(_settle_windows(parts), _ROWS)
+    return packed.cogroup(ranges.groupBy("to")).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,16 +64,12 @@ def test_settling_in_one_process(monkeypatch):
         monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
         batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "row", "text"])
         table = lambda bs: pa.Table.from_batches(list(bs), pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
-        of = lambda t, kind: t.filter(pa.compute.equal(t["kind"], kind))
-        import pyarrow.compute  # noqa: F401
-
         grams = suffix.anchors(*suffix._laid_out([(r[1] or "").encode() for r in rows]))["gram"]
         first = table(suffix._find_anchors(1, 1, np.sort(grams[:: 1 if size == 10**7 else 2]) if spread else grams[:0])([batch]))
-        settled = suffix._settle_contexts(1)(of(first, 0))
+        settled = suffix._settle_contexts(1)(first)
         packed = table(suffix._pack_documents(1)([batch]))
-        contexts = suffix._fetch_contexts(1, 1)(packed, of(settled, 2))
-        compared = suffix._settle_windows(1)(pa.concat_tables([of(contexts, 4), of(contexts, 5), of(first, 5)]))
-        ranges = pa.concat_tables([of(t, 1) for t in (first, settled, contexts, compared)])
+        contexts = suffix._fetch_contexts(1, 1)(packed, settled)
+        ranges = suffix._settle_windows(1)(contexts)
         out = suffix._finish(packed, ranges).to_pylist()
         assert sorted((-1 if r["id"] is None else r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == want
 
