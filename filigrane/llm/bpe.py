@@ -1,9 +1,9 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes meets a mask, so equal
-passages are cut alike wherever they stand. Each worker keeps a memo, bounded
-in bytes, from chunk to encoding: a chunk shared by documents is encoded once
-a worker. A join between two chunks agrees with the encoding of the whole text
+passages are cut alike wherever they stand. Each task keeps a memo, bounded in
+bytes, from chunk to encoding: a chunk that the task's documents share is
+encoded once. A join between two chunks agrees with the encoding of the whole text
 if the left one ends in white space, which every pre-tokenizer piece and every
 normalisation stops at; other joins are repaired by encoding the two sides
 together, and again with the next chunk, until they agree.
@@ -13,7 +13,8 @@ tokenizers library once each and kept in a second bounded memo. Characters
 whose case, composition or class the library and Python may see differently,
 and added tokens written in a text, take the library's path for the whole text.
 
-Memory: one Arrow batch, the two memos (``memo_mb``) and the vocabulary.
+Memory: one Arrow batch, the two memos (``memo_mb``, emptied when a task ends, as
+idle workers keep theirs otherwise) and the vocabulary.
 Nothing is shuffled and no state crosses tasks, so a lost task is simply run
 again. The vocabulary is read by its path on each executor.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +43,7 @@ PLAIN = regex.compile(r"[\t\n\r\x20-\x7e -įĲ-ž‐-‧‰-⁞₠-₿]*")
 
 CHUNK_MASK = np.uint64(0x3F)
 CHUNK_WINDOW = 16
-MEMO_MB = 256
+MEMO_MB = 160
 
 
 class Memo:
@@ -57,6 +59,9 @@ class Memo:
         self.held += size
         self.young[key] = value
 
+    def clear(self) -> None:
+        self.held, self.young, self.old = 0, {}, {}
+
     def get(self, key: str) -> tuple | None:
         known = self.young.get(key)
         if known is None and (known := self.old.get(key)) is not None:
@@ -98,6 +103,11 @@ class Coder:
         self.joins_by_space = self.lib.decoder is None
         self.chunks, self.words = Memo(memo_mb << 18), Memo(memo_mb * 3 << 18)
 
+    def forget(self) -> None:
+        """Give the memos' memory back; a worker outlives its task and may serve other work next."""
+        self.chunks.clear()
+        self.words.clear()
+
     def _word(self, ids: list[int]) -> tuple[str, str]:
         decoded = " ".join([self.tokens[i] for i in ids]) if self.joins_by_space else self.lib.decode(ids, skip_special_tokens=False)
         return " ".join(map(str, ids)), decoded
@@ -165,16 +175,26 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@contextmanager
+def _task(path: str) -> Iterator[Coder]:
+    """The coder for one task, whose memos end with it."""
+    c = coder(path)
+    try:
+        yield c
+    finally:
+        c.forget()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, ids (array of int) and decoded."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
-        for b in batches:
-            made = [c.encode(t.as_py()) for t in b.column(1)]
-            ids = pa.array([[int(i) for i in m[0].split()] for m in made], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([m[2] for m in made], pa.string())], ["id", "ids", "decoded"])
+        with _task(path) as c:
+            for b in batches:
+                made = [c.encode(t.as_py()) for t in b.column(1)]
+                ids = pa.array([[int(i) for i in m[0].split()] for m in made], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([m[2] for m in made], pa.string())], ["id", "ids", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
@@ -184,11 +204,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
-            made = [(n, sha(i), sha(d)) for i, n, d in (c.encode(t.as_py()) for t in b.column(1))]
-            cols = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _task(path) as c:
+            for b in batches:
+                made = [(n, sha(i), sha(d)) for i, n, d in (c.encode(t.as_py()) for t in b.column(1))]
+                cols = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
