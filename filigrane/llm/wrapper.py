@@ -1,13 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Pages are ranged by host, so a host with
-very many pages spreads over tasks, and each task takes the pages of a host in
-groups of at most ``GROUP_PAGES`` pages and ``GROUP_CHARS`` characters. Within
-a group every page becomes a DOM tree in which runs of equal siblings stand for
-one repeated node; the trees are aligned with the group's most usual tree by
-simple tree matching (Yang, 1991), computed once for each pair of shapes. A text that
-most pages with an aligned slot repeat in it is template; what varies in a slot
-is content.
+Pages of one host share a template. Every page becomes a DOM tree in which runs
+of equal siblings stand for one repeated node; the trees are aligned with the
+most usual tree of the whole host by simple tree matching (Yang, 1991), computed
+once for each pair of shapes. A text that most pages with an aligned slot
+repeat in it is template; what varies in a slot is content.
+
+Pages are read twice. First each gives its shape and, for each block, slot and
+hash of the text; these rows are counted by host, slot and hash with partial
+sums before the shuffle, so the template is that of all pages of a host,
+however many there are, however long they are and however they are partitioned.
+Then the pages meet their host's template. A template holds no more than
+1 / ``CONSTANT_SHARE`` times the blocks of a page; up to ``BROADCAST_CHARS`` in
+all they are broadcast and no page leaves its partition, beyond it the same join
+shuffles and Spark splits its skewed partitions. Hosts of fewer than
+``MIN_PAGES`` pages have none.
 
 What the markup itself says goes first: scripts, styles, menus, headers,
 footers, sidebars, forms, notices, adverts and reader comments are left out by
@@ -23,17 +30,22 @@ results. Nothing is dropped for its size.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_PAGES, GROUP_CHARS = 256, 4_000_000
+from filigrane.llm.state import cut
+
+GROUP_PAGES = 256  # pages whose counts are added up before they leave Python; steers load only
+BROADCAST_CHARS = 32_000_000
 MIN_PAGES, CONSTANT_SHARE = 4, 0.6
 MAX_DEPTH = 48  # of the shapes that are aligned; text is taken from any depth
 
@@ -244,32 +256,113 @@ def blocks(root: Node) -> list[tuple[tuple, str, bool, bool]]:
     return out
 
 
+def _tuples(x: list) -> tuple:
+    return tuple(_tuples(y) if isinstance(y, list) else y for y in x)
+
+
+def _written(x: object) -> str:
+    return json.dumps(x, separators=(",", ":"))
+
+
+@lru_cache(maxsize=1024)
+def _read_shape(written: str) -> tuple:
+    return _tuples(json.loads(written))
+
+
+@lru_cache(maxsize=1024)
+def _read_template(written: str) -> frozenset[tuple[str, str]]:
+    return frozenset(map(tuple, json.loads(written)))
+
+
+@lru_cache(maxsize=4096)
+def _places(usual: str, own: tuple) -> dict[tuple, str]:
+    """Slots of a page by the written slots of the host's usual shape that they are aligned with."""
+    return {slot: _written(at) for slot, at in align(_read_shape(usual), own).items()}
+
+
+#: In place of a text's hash: the page has the slot; the slot stands in the page's marked article.
+ANY, MARKED = "", "article"
+
+
+def _hash(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _dom(html: str | None) -> tuple[tuple, list[tuple[tuple, str, bool, bool]]]:
+    """A page's shape and blocks."""
+    tree = parse(html or "")
+    return shape(tree), blocks(tree)
+
+
+def features(html: str | None) -> tuple[str, str]:
+    """What a page tells of its host's template, written: its shape, and (slot, text hash or MARKED) of its blocks."""
+    own, found = _dom(html)
+    said = {(slot, _hash(text)) for slot, text, _, _ in found} | {(slot, MARKED) for slot, _, drop, article in found if article and not drop}
+    return _written(own), _written(sorted(said))
+
+
+def votes(usual: str, own: str, said: str) -> set[tuple[str, str]]:
+    """The features of a page at the slots of the host's usual shape, and ANY for each of these."""
+    place = _places(usual, _read_shape(own))
+    out = {(place[tuple(slot)], what) for slot, what in json.loads(said) if tuple(slot) in place}
+    return out | {(at, ANY) for at, _ in out}
+
+
+def _constant(n: int, pages_with: int) -> bool:
+    return n >= max(MIN_PAGES, CONSTANT_SHARE * pages_with)
+
+
+def main_blocks(html: str | None, usual: str | None, template: Iterable[tuple[str, str]]) -> str:
+    """The main text of a page of a host with this usual shape and template; without a usual shape no slot is known."""
+    own, found = _dom(html)
+    place = _places(usual, own) if usual else {}
+    wanted = [(place.get(slot), text, article) for slot, text, drop, article in found if not drop]
+    kept = [text for _, text, article in wanted if article] or [text for at, text, _ in wanted if (at, MARKED) in template]
+    return "\n".join(kept or [text for at, text, _ in wanted if (at, _hash(text)) not in template])
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
-    trees = [parse(h or "") for h in pages]
-    shapes = [shape(t) for t in trees]
-    found = [blocks(t) for t in trees]
-    slots: dict[tuple, dict[tuple, tuple]] = {}
-    pages_with, repeated, marked = Counter(), Counter(), Counter()
-    if len(pages) >= MIN_PAGES:
-        usual = Counter(shapes).most_common(1)[0][0]
-        slots = {s: align(usual, s) for s in set(shapes)}
-    for s, f in zip(shapes, found, strict=True):
-        place = slots.get(s, {})
-        own = {(place[slot], text) for slot, text, _, _ in f if slot in place}
-        repeated.update(own)
-        pages_with.update({at for at, _ in own})
-        marked.update({place[slot] for slot, _, drop, article in f if article and not drop and slot in place})
-    usually = lambda n, at: n >= max(MIN_PAGES, CONSTANT_SHARE * pages_with[at])
-    template = {(at, text) for (at, text), n in repeated.items() if usually(n, at)}
-    content = {at for at, n in marked.items() if usually(n, at)}
-    out = []
-    for s, f in zip(shapes, found, strict=True):
-        place = slots.get(s, {})
-        wanted = [(place.get(slot), text, article) for slot, text, drop, article in f if not drop]
-        own = [text for _, text, article in wanted if article] or [text for at, text, _ in wanted if at in content]
-        out.append("\n".join(own or [text for at, text, _ in wanted if (at, text) not in template]))
-    return out
+    seen = [features(h) for h in pages]
+    usual, template = None, frozenset()
+    if len(seen) >= MIN_PAGES:
+        shapes = Counter(own for own, _ in seen)
+        usual = max(shapes, key=lambda own: (shapes[own], own))
+        n = Counter(v for own, said in seen for v in votes(usual, own, said))
+        template = frozenset(k for k in n if k[1] != ANY and _constant(n[k], n[k[0], ANY]))
+    return [main_blocks(h, usual, template) for h in pages]
+
+
+def _small(df: DataFrame, *texts: str) -> DataFrame:
+    """df, whose row and text sizes are counted first, with the hint to broadcast it if it is within BROADCAST_CHARS."""
+    size = df.agg(F.sum(sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(100)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_CHARS else df
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, usual, template) of each host of MIN_PAGES pages or more, from (host, html)."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [features(h.as_py()) for h in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], pa.string()) for k in range(2))], ["host", "own", "said"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, GROUP_PAGES):
+                n = Counter((host, *v) for host, own, said, usual in zip(*(c.to_pylist() for c in b.slice(k, GROUP_PAGES).columns), strict=True) for v in votes(usual, own, said))
+                cols = [pa.array([x[i] for x in n], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), pa.int64())], ["host", "at", "what", "n"])
+
+    seen = cut(pages.select("host", "html").mapInArrow(look, "host string, own string, said string"))
+    shapes = seen.groupBy("host", "own").agg(F.count("*").alias("n")).groupBy("host").agg(F.max(F.struct("n", "own")).alias("most"), F.sum("n").alias("pages"))
+    usual = cut(shapes.where(F.col("pages") >= MIN_PAGES).select("host", F.col("most.own").alias("usual")))
+    counts = seen.join(_small(usual, "host", "usual"), "host").select("host", "own", "said", "usual").mapInArrow(count, "host string, at string, what string, n long")
+    often = cut(counts.groupBy("host", "at", "what").agg(F.sum("n").alias("n")).where((F.col("what") == ANY) | (F.col("n") >= MIN_PAGES)))
+    slots = often.where(F.col("what") == ANY).select("host", "at", F.col("n").alias("pages_with"))
+    fixed = often.where(F.col("what") != ANY).join(slots, ["host", "at"]).where(F.col("n") >= CONSTANT_SHARE * F.col("pages_with"))
+    written = fixed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("at", "what")))).alias("template"))
+    return usual.join(written, "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
@@ -277,29 +370,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1))
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    key = ("host", F.xxhash64("id", "url"))
-    d = (d.repartitionByRange(partitions, *key) if partitions else d.repartitionByRange(*key)).sortWithinPartitions("host")
+    if partitions:
+        d = d.repartition(partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, host = 0, None
-
-        def flush() -> pa.RecordBatch:
-            texts = extract([r[2] for r in held])
-            cols = [pa.array([r[0] for r in held], types[0]), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["id", "url", "text", "n_chars"])
-
-        types = [pa.int64()]
         for b in batches:
-            types[0] = b.schema.field(0).type
-            for page, url, html, name in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if held and (name != host or len(held) >= GROUP_PAGES or size > GROUP_CHARS):
-                    yield flush()
-                    size = 0
-                host, size = name, size + len(html or "")
-                held.append((page, url, html))
-        if held:
-            yield flush()
-
-    return d.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+            texts = [main_blocks(h.as_py(), u.as_py(), _read_template(t.as_py() or "[]")) for h, u, t in zip(*(b.column(k) for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+
+    known = d.join(_small(cut(templates(d)), "host", "usual", "template"), "host", "left").select("id", "url", "html", "usual", "template")
+    return known.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

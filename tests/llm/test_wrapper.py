@@ -50,3 +50,19 @@ def test_rows_survive(spark, monkeypatch):
     assert all(by[i].text == f"text {i}" for i in range(40) if i != 1)
     assert by[None].text == "" and by[41].text == "deep" and by[41].n_chars == 4 and by[42].text.endswith("<p> A")
     assert wrapper.main_text(df.limit(0)).count() == 0
+
+
+def plain(i):
+    return f"<div><div><p>All rights reserved by us</p></div><section><p>Story {i} of {i * 7}</p></section></div>"
+
+
+def test_every_page_of_a_host_has_the_template(spark, monkeypatch):
+    """Neither partitions, nor a remainder, nor very long pages take the method away."""
+    rows = [(i, f"https://big.example/{i}", plain(i)) for i in range(257)]
+    rows += [(1000 + i, f"https://small{i % 9}.example/{i}", plain(i)) for i in range(54)]
+    rows += [(2000 + i, f"https://long.example/{i}", plain(i) + f"<!--{'x' * 1_400_000}-->") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df, partitions=7).collect()}
+    assert got == {i: f"Story {i % 1000} of {i % 1000 * 7}" for i, _, _ in rows}
+    monkeypatch.setattr(wrapper, "BROADCAST_CHARS", 0)
+    assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == got
