@@ -4,7 +4,9 @@ Pages of one host share a template. Every page becomes a DOM tree in which runs
 of equal siblings stand for one repeated node; the trees are aligned with the
 most usual tree of the whole host by simple tree matching (Yang, 1991), computed
 once for each pair of shapes. A text that most pages with an aligned slot
-repeat in it is template; what varies in a slot is content.
+repeat in it is template; what varies in a slot is content. Pages with the same
+wanted blocks are copies and count once; a page of which nothing would be left
+keeps its wanted blocks.
 
 Pages are read twice. First each gives its shape and, for each block, slot and
 hash of the text; these rows are counted by host, slot and hash with partial
@@ -14,7 +16,7 @@ Then the pages meet their host's template. A template holds no more than
 1 / ``CONSTANT_SHARE`` times the blocks of a page; up to ``BROADCAST_CHARS`` in
 all they are broadcast and no page leaves its partition, beyond it the same join
 shuffles and Spark splits its skewed partitions. Hosts of fewer than
-``MIN_PAGES`` pages have none.
+``MIN_PAGES`` distinct pages have none.
 
 What the markup itself says goes first: scripts, styles, menus, headers,
 footers, sidebars, forms, notices, adverts and reader comments are left out by
@@ -294,11 +296,12 @@ def _dom(html: str | None) -> tuple[tuple, list[tuple[tuple, str, bool, bool]]]:
     return shape(tree), blocks(tree)
 
 
-def features(html: str | None) -> tuple[str, str]:
-    """What a page tells of its host's template, written: its shape, and (slot, text hash or MARKED) of its blocks."""
+def features(html: str | None) -> tuple[str, str, str]:
+    """What a page tells of its host's template, written: the hash of its wanted blocks, which copies share, its shape, and (slot, text hash or MARKED) of its blocks."""
     own, found = _dom(html)
+    page = _hash("\n".join(text for _, text, drop, _ in found if not drop))
     said = {(slot, _hash(text)) for slot, text, _, _ in found} | {(slot, MARKED) for slot, _, drop, article in found if article and not drop}
-    return _written(own), _written(sorted(said))
+    return page, _written(own), _written(sorted(said))
 
 
 def votes(usual: str, own: str, said: str) -> set[tuple[str, str]]:
@@ -318,12 +321,16 @@ def main_blocks(html: str | None, usual: str | None, template: Iterable[tuple[st
     place = _places(usual, own) if usual else {}
     wanted = [(place.get(slot), text, article) for slot, text, drop, article in found if not drop]
     kept = [text for _, text, article in wanted if article] or [text for at, text, _ in wanted if (at, MARKED) in template]
-    return "\n".join(kept or [text for at, text, _ in wanted if (at, _hash(text)) not in template])
+    kept = kept or [text for at, text, _ in wanted if (at, _hash(text)) not in template]
+    return "\n".join(kept or [text for _, text, _ in wanted])
 
 
 def extract(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
-    seen = [features(h) for h in pages]
+    copies: dict[str, tuple[str, str]] = {}
+    for page, *said in map(features, pages):
+        copies[page] = min(copies.get(page, tuple(said)), tuple(said))
+    seen = list(copies.values())
     usual, template = None, frozenset()
     if len(seen) >= MIN_PAGES:
         shapes = Counter(own for own, _ in seen)
@@ -340,12 +347,12 @@ def _small(df: DataFrame, *texts: str) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, usual, template) of each host of MIN_PAGES pages or more, from (host, html)."""
+    """(host, usual, template) of each host of MIN_PAGES distinct pages or more, from (host, html)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [features(h.as_py()) for h in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], pa.string()) for k in range(2))], ["host", "own", "said"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], pa.string()) for k in range(3))], ["host", "page", "own", "said"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +361,8 @@ def templates(pages: DataFrame) -> DataFrame:
                 cols = [pa.array([x[i] for x in n], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), pa.int64())], ["host", "at", "what", "n"])
 
-    seen = cut(pages.select("host", "html").mapInArrow(look, "host string, own string, said string"))
+    every = pages.select("host", "html").mapInArrow(look, "host string, page string, own string, said string")
+    seen = cut(every.groupBy("host", "page").agg(F.min(F.struct("own", "said")).alias("one")).select("host", "one.own", "one.said"))
     shapes = seen.groupBy("host", "own").agg(F.count("*").alias("n")).groupBy("host").agg(F.max(F.struct("n", "own")).alias("most"), F.sum("n").alias("pages"))
     usual = cut(shapes.where(F.col("pages") >= MIN_PAGES).select("host", F.col("most.own").alias("usual")))
     counts = seen.join(_small(usual, "host", "usual"), "host").select("host", "own", "said", "usual").mapInArrow(count, "host string, at string, what string, n long")

@@ -66,3 +66,15 @@ def test_every_page_of_a_host_has_the_template(spark, monkeypatch):
     assert got == {i: f"Story {i % 1000} of {i % 1000 * 7}" for i, _, _ in rows}
     monkeypatch.setattr(wrapper, "BROADCAST_CHARS", 0)
     assert {r.page_id: r.text for r in wrapper.main_text(df).collect()} == got
+
+
+def test_copies_count_once(spark):
+    """Copies of one page, their menus alike or not, are no template; a page of template alone keeps its text."""
+    copy = lambda k: page(k, "<div><section><p>Told in full</p></section></div>")
+    pages = [copy(k) for k in range(5)] + [copy(0)] * 4 + [page(7, f"<div><section><p>Other {k}</p></section></div>") for k in range(2)]
+    want = ["Told in full"] * 9 + ["Other 0", "Other 1"]
+    assert wrapper.extract(pages) == want
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in wrapper.main_text(df).orderBy("page_id").collect()] == want
+    bare = "<div><div><p>All rights reserved by us</p></div></div>"
+    assert wrapper.extract([*map(plain, range(9)), bare])[8:] == ["Story 8 of 56", "All rights reserved by us"]
