@@ -5,8 +5,8 @@ of equal siblings stand for one repeated node; the trees are aligned with the
 most usual tree of the whole host by simple tree matching (Yang, 1991), computed
 once for each pair of shapes. A text that most pages with an aligned slot
 repeat in it is template; what varies in a slot is content. Pages with the same
-wanted blocks are copies and count once; a page of which nothing would be left
-keeps its wanted blocks.
+wanted blocks are copies and count once; a page of which nothing else would
+be left keeps its wanted blocks.
 
 Pages are read twice. First each gives its shape and, for each block, slot and
 hash of the text; these rows are counted by host, slot and hash with partial
@@ -18,11 +18,15 @@ all they are broadcast and no page leaves its partition, beyond it the same join
 shuffles and Spark splits its skewed partitions. Hosts of fewer than
 ``MIN_PAGES`` distinct pages have none.
 
-What the markup itself says goes first: scripts, styles, menus, headers,
-footers, sidebars, forms, notices, adverts and reader comments are left out by
-tag, role and class name, and where a page marks its article, the article's
-blocks are its text whether or not other pages repeat them. The induced
-template decides for what stands outside a marked article.
+What the markup says are hints. Scripts, styles, menus, headers, footers, forms
+and the like are left out by tag and role for good; sidebars, notices, adverts
+and reader comments by words in class and id, unless induction overrules it:
+where on most pages with a slot one element of that kind holds ``HIDDEN_SHARE``
+of the page's text, what varies in the slot is content. Where a page marks its article, the
+text is taken from there, otherwise from the slots that most pages mark or else
+from the whole page, and in each case less the template. A page of which that
+leaves nothing gives what class and id words hide, less the template, if it is
+longer than the rest.
 
 Edge cases: a null or empty html has no text. Unclosed, stray and wrongly
 nested tags are repaired as browsers do for the common cases. Only page_id, url
@@ -49,6 +53,7 @@ from filigrane.llm.state import cut
 GROUP_PAGES = 256  # pages whose counts are added up before they leave Python; steers load only
 BROADCAST_CHARS = 32_000_000
 MIN_PAGES, CONSTANT_SHARE = 4, 0.6
+HIDDEN_SHARE = 0.9
 MAX_DEPTH = 48  # of the shapes that are aligned; text is taken from any depth
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -70,29 +75,34 @@ HEADING = re.compile(r"h[1-6]$")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: How sure it is that an element isn't the article.
+OUT, DOUBT = -1, 1
+
+
 class Node:
     __slots__ = ("children", "drop", "key", "tag")
 
-    def __init__(self, tag: str, drop: bool = False) -> None:
+    def __init__(self, tag: str, drop: int = 0) -> None:
         self.tag, self.drop, self.children, self.key = tag, drop, [], None
 
 
 @lru_cache(maxsize=4096)
-def _unwanted(tag: str, attributes: str) -> bool:
-    """Whether tag, role, class or id name something that isn't the article."""
+def _unwanted(tag: str, attributes: str) -> int:
+    """Whether something that isn't the article is named: OUT by tag, role or a hidden mark, DOUBT by class or id, or 0."""
     if tag in DROP_TAGS:
-        return True
+        return OUT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    doubt = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return OUT
         if name == "role" and DROP_ROLES & set(value.lower().split()):
-            return True
+            return OUT
         if name in ("class", "id") and DROP_WORDS & {w.lower() for w in WORDS.findall(value)}:
-            return True
-    return False
+            doubt = DOUBT
+    return doubt
 
 
 def parse(html: str) -> Node:
@@ -212,19 +222,25 @@ def clean(parts: list[str]) -> str:
     return SPACE.sub(" ", unescape("".join(parts))).strip()
 
 
-def blocks(root: Node) -> list[tuple[tuple, str, bool, bool]]:
-    """Every block of text in page order: its slot in the page's shape, its text, whether it is unwanted, whether it stands in a marked article."""
-    out: list[tuple[tuple, str, bool, bool]] = []
+def blocks(root: Node) -> list[tuple[tuple, str, int, bool]]:
+    """Every block of text in page order: its slot in the page's shape, its text, whether it is unwanted (0, OUT, or the number, from DOUBT on, of the outermost element whose class or id says so), whether it stands in a marked article."""
+    out: list[tuple[tuple, str, int, bool]] = []
     parts: list[str] = []
+    doubted: dict[int, int] = {}
 
-    def flush(slot: tuple, drop: bool, article: bool) -> None:
+    def hint(drop: int, node: Node) -> int:
+        if drop or node.drop != DOUBT:
+            return OUT if node.drop == OUT else drop
+        return doubted.setdefault(id(node), DOUBT + len(doubted))
+
+    def flush(slot: tuple, drop: int, article: bool) -> None:
         if parts:
             text = clean(parts)
             parts.clear()
             if text:
                 out.append((slot, text, drop, article))
 
-    todo: list = [("open", root, (), False, False)]
+    todo: list = [("open", root, (), 0, False)]
     while todo:
         what, node, slot, drop, article = todo.pop()
         if what == "text":
@@ -233,7 +249,7 @@ def blocks(root: Node) -> list[tuple[tuple, str, bool, bool]]:
         if what == "flush":
             flush(slot, drop, article)
             continue
-        drop = drop or node.drop or node.tag == "header" and not article
+        drop = OUT if node.tag == "header" and not article else hint(drop, node)
         article = article or node.tag in ("article", "main")
         block = node.tag not in INLINE
         later: list = []
@@ -251,7 +267,7 @@ def blocks(root: Node) -> list[tuple[tuple, str, bool, bool]]:
                 inner = (*slot, number) if len(slot) < MAX_DEPTH else slot
                 later.append(("flush", None, slot, drop, article))
                 later.append(("open", c, inner, drop, article))
-                later.append(("flush", None, inner, drop or c.drop, article))
+                later.append(("flush", None, inner, hint(drop, c), article))
         if block:
             later.append(("flush", None, slot, drop, article))
         todo.extend(reversed(later))
@@ -282,25 +298,32 @@ def _places(usual: str, own: tuple) -> dict[tuple, str]:
     return {slot: _written(at) for slot, at in align(_read_shape(usual), own).items()}
 
 
-#: In place of a text's hash: the page has the slot; the slot stands in the page's marked article.
-ANY, MARKED = "", "article"
+#: In place of a text's hash: the page has the slot; the slot stands in the page's marked article; an element that holds nearly all of the page is hidden by class or id, and the slot in it.
+ANY, MARKED, HIDDEN = "", "article", "hidden"
 
 
 def _hash(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def _dom(html: str | None) -> tuple[tuple, list[tuple[tuple, str, bool, bool]]]:
+def _dom(html: str | None) -> tuple[tuple, list[tuple[tuple, str, int, bool]]]:
     """A page's shape and blocks."""
     tree = parse(html or "")
     return shape(tree), blocks(tree)
 
 
 def features(html: str | None) -> tuple[str, str, str]:
-    """What a page tells of its host's template, written: the hash of its wanted blocks, which copies share, its shape, and (slot, text hash or MARKED) of its blocks."""
+    """What a page tells of its host's template, written: the hash of its wanted blocks, which copies share, its shape, and (slot, text hash, MARKED or HIDDEN) of its blocks."""
     own, found = _dom(html)
     page = _hash("\n".join(text for _, text, drop, _ in found if not drop))
     said = {(slot, _hash(text)) for slot, text, _, _ in found} | {(slot, MARKED) for slot, _, drop, article in found if article and not drop}
+    size = Counter()
+    for _, text, drop, _ in found:
+        size[drop] += len(text)
+    most = max((drop for drop in size if drop >= DOUBT), key=size.__getitem__, default=0)
+    if most and size[most] >= HIDDEN_SHARE * (size.total() - size[OUT]):
+        page = _hash("\n".join(text for _, text, drop, _ in found if drop in (0, most)))
+        said |= {(slot, HIDDEN) for slot, _, drop, _ in found if drop == most}
     return page, _written(own), _written(sorted(said))
 
 
@@ -315,14 +338,32 @@ def _constant(n: int, pages_with: int) -> bool:
     return n >= max(MIN_PAGES, CONSTANT_SHARE * pages_with)
 
 
-def main_blocks(html: str | None, usual: str | None, template: Iterable[tuple[str, str]]) -> str:
-    """The main text of a page of a host with this usual shape and template; without a usual shape no slot is known."""
+def decide(html: str | None, usual: str | None, template: Iterable[tuple[str, str]]) -> tuple[str, list[str]]:
+    """What decides for a page of a host with this usual shape and template, and its main blocks; without a usual shape no slot is known.
+
+    The first is "marked", "slots" or "page" for where the text is taken from, with "-template" if the template takes
+    something away; "hidden" for what class and id words hide; "" for a page without text."""
     own, found = _dom(html)
     place = _places(usual, own) if usual else {}
-    wanted = [(place.get(slot), text, article) for slot, text, drop, article in found if not drop]
-    kept = [text for _, text, article in wanted if article] or [text for at, text, _ in wanted if (at, MARKED) in template]
-    kept = kept or [text for at, text, _ in wanted if (at, _hash(text)) not in template]
-    return "\n".join(kept or [text for _, text, _ in wanted])
+    varies = lambda at, text: (at, _hash(text)) not in template
+    every = [(place.get(slot), text, drop, article) for slot, text, drop, article in found if drop != OUT]
+    wanted = [(at, text, article) for at, text, drop, article in every if not drop or (at, HIDDEN) in template and varies(at, text)]
+    marked = [(at, text) for at, text, article in wanted if article]
+    slots = [] if marked else [(at, text) for at, text, _ in wanted if (at, MARKED) in template]
+    source = marked or slots or [(at, text) for at, text, _ in wanted]
+    kept = [text for at, text in source if varies(at, text)]
+    where = "marked" if marked else "slots" if slots else "page"
+    if kept:
+        return where + "-template" * (len(kept) < len(source)), kept
+    hidden = [text for at, text, drop, _ in every if drop and varies(at, text)]
+    if sum(map(len, hidden)) > sum(len(text) for _, text in source):
+        return "hidden", hidden
+    return where if source else "", [text for _, text in source]
+
+
+def main_blocks(html: str | None, usual: str | None, template: Iterable[tuple[str, str]]) -> str:
+    """The main text of a page."""
+    return "\n".join(decide(html, usual, template)[1])
 
 
 def extract(pages: list[str | None]) -> list[str]:

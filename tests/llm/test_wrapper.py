@@ -78,3 +78,17 @@ def test_copies_count_once(spark):
     assert [r.text for r in wrapper.main_text(df).orderBy("page_id").collect()] == want
     bare = "<div><div><p>All rights reserved by us</p></div></div>"
     assert wrapper.extract([*map(plain, range(9)), bare])[8:] == ["Story 8 of 56", "All rights reserved by us"]
+
+
+def test_the_template_decides_in_marked_articles():
+    pages = [page(k, f"<article><h1>Head {k}</h1><div>Sign up for our letter</div><p>text {k}</p></article>") for k in range(8)]
+    assert wrapper.extract(pages) == [f"Head {k}\ntext {k}" for k in range(8)]
+    assert wrapper.extract(pages[:3])[0] == "Head 0\nSign up for our letter\ntext 0"
+
+
+def test_induction_overrules_class_names():
+    story = lambda k: f"Story {k} " + "told at length " * 20 + "to the end"
+    body = lambda k: f'<h1>T{k}</h1><div class="content has-sidebar"><div>Sign up for our letter</div><section><p>{story(k)}</p></section></div>'
+    assert wrapper.extract([page(k, body(k)) for k in range(8)]) == [f"T{k}\n{story(k)}" for k in range(8)]
+    alone = f'<nav>Menu</nav><div class="content has-sidebar"><p>{story(1)}</p></div>'
+    assert wrapper.extract([alone]) == [story(1)]
