@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Kind:
     """pattern: Java regex. probe: text that any match contains, tested first ("": none). base: confirmed without context.
-    weight: the score before context; context: words that raise it by CONTEXT_GAIN when they stand up to CONTEXT_CHARS before the span."""
+    weight: the score before context; context: words that raise it by CONTEXT_GAIN when they stand up to CONTEXT_CHARS before the span, whatever
+    matches lie between, or before an earlier match from which only matches and text without letters lead to the span (a list)."""
 
     name: str
     pattern: str
@@ -106,23 +107,26 @@ def _candidates(kind: Kind, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(kind.probe)), pieces) if kind.probe else pieces
 
 
-def _offsets(pieces: Column, matches: Column) -> Column:
-    """One struct a match: start, end, its text and what stands before it."""
+def _offsets(kind: Kind, pieces: Column, matches: Column) -> Column:
+    """One struct a match: start, end, its text and whether it has a context word."""
     pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,c:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(False).alias("on"), F.array().cast("array<struct<s:int,e:int,m:string,c:boolean>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("c"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(CONTEXT_CHARS))
+        on = before.rlike(kind.context) | (acc["on"] & ~x["p"].rlike(r"\p{L}"))
+        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), on.alias("c"))
+        tail = F.right(F.concat(before, x["m"]), F.lit(CONTEXT_CHARS))
+        return F.struct(e.alias("at"), tail.alias("tail"), on.alias("on"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def _confirmed(i: int, kind: Kind, found: Column) -> Column:
     """Spans of one kind that pass their validator and, beyond the base kinds, the least score."""
-    score = lambda x: F.round(F.lit(kind.weight) + F.when(x["c"].rlike(kind.context), CONTEXT_GAIN).otherwise(0.0), 2)
+    score = lambda x: F.round(F.lit(kind.weight) + F.when(x["c"], CONTEXT_GAIN).otherwise(0.0), 2)
     spans = F.transform(F.filter(found, lambda x: _valid(kind.name, x["m"])), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"), score(x).alias("score")))
     return spans if kind.base else F.filter(spans, lambda x: x["score"] >= MIN_SCORE)
 
@@ -134,7 +138,7 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     none = F.array().cast(f"array<{_SPAN}>")
     d = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     d = d.select(*keep, "_t", *[_candidates(k, F.col("_t")).alias(f"_p{i}") for i, k in enumerate(KINDS)])
-    found = [F.when(F.size(f"_p{i}") > 1, _confirmed(i, k, _offsets(F.col(f"_p{i}"), F.regexp_extract_all("_t", F.lit(k.pattern), F.lit(0))))).otherwise(none) for i, k in enumerate(KINDS)]
+    found = [F.when(F.size(f"_p{i}") > 1, _confirmed(i, k, _offsets(k, F.col(f"_p{i}"), F.regexp_extract_all("_t", F.lit(k.pattern), F.lit(0))))).otherwise(none) for i, k in enumerate(KINDS)]
     return d.select(*keep, F.array_sort(F.concat(*found)).alias("_spans"))
 
 

@@ -40,3 +40,13 @@ def test_empty_and_repeated(spark):
     assert pii.scan(run(spark, [])).count() == 0
     twice = spark.createDataFrame([(None, "a@b.c"), (None, "a@b.c")], "doc_id long, text string")
     assert [r.n_email for r in pii.scan(twice).collect()] == [1, 1]
+
+
+def test_context_is_the_text_before(spark):
+    numbers = [f"078-05-{1000 + k}" for k in range(40)]
+    rows = ["SSN: 078-05-1120, 219-09-9999", "SSN: " + ", ".join(numbers), "078-05-1120, SSN of Ann 219-09-9999 and her part 219-09-9998"]
+    got = [r.spans for r in pii.scan(run(spark, rows)).orderBy("doc_id").collect()]
+    assert got[0] == "ssn:5:16,ssn:18:29"
+    assert got[1] == ",".join(f"ssn:{5 + 13 * k}:{16 + 13 * k}" for k in range(40))
+    assert got[2] == "ssn:24:35,ssn:49:60"
+    assert pii.redact(run(spark, rows[:1])).first().text == "SSN: [SSN], [SSN]"
