@@ -9,8 +9,12 @@ literal bound to an innocent name counts when that name later reaches a
 sensitive target. Each literal is scored by its most sensitive target name, its
 length and its entropy; placeholders score nothing.
 
-Everything happens inside one row: memory is one text and its names, nothing is
-shuffled, and each scan is linear in the text.
+A value is kept as its parts, shared between the names that hold it, and as
+running counts of its characters, so all literals of an assignment count and the
+whole value is scored however long propagation makes it.
+
+Everything happens inside one row: memory is one text, its names and the distinct
+characters of their values; nothing is shuffled.
 
 Edge cases: a null text counts as empty. Later bindings of a name replace
 earlier ones from there on; a name that is never bound contributes nothing.
@@ -39,7 +43,8 @@ PROBES = (b"passw", b"secret", b"token", b"api", b"pwd", b"passphrase", b"creden
 #: Weight of a target name by the words in it.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "private": 0.5, "key": 0.5, "access": 0.3, "dsn": 0.5, "signing": 0.4, "encryption": 0.4, "client": 0.1}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|todo|undefined|changeme|example|your.*|.*placeholder.*|<.*>|\$\{.*\}|\$[A-Z_]+|\{\{.*\}\}|%\(.*\)s)$")
-MIN_LENGTH, MIN_SCORE, MAX_SCORE_LENGTH = 6, 0.6, 4096
+MIN_LENGTH, MIN_SCORE = 6, 0.6
+EDGE = 4096  # characters kept of either end of a value; a value up to this length is kept whole
 
 _ATOM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_$][\w.$-]*+|[A-Za-z0-9+/_.=@:!?%^&*~-]++)"""
 PAIR = re.compile(rf"""(?P<tag><(?P<el>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]++)</)|["']?(?P<name>(?<![\w.$-])[A-Za-z_$][\w.$-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+(?P<value>{_ATOM}(?:[\x20\t]*+\+[\x20\t]*+{_ATOM})*+)""", re.A)
@@ -65,59 +70,106 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in {*words, *joined}))
 
 
-def entropy(value: str) -> float:
+class Value:
+    """A value as its parts, with what scoring needs of the whole: length, counts of characters, both ends."""
+
+    __slots__ = ("best", "blank", "counts", "head", "lead", "n", "parts", "placeholder", "span", "tail", "trail")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None) -> None:
+        self.span, self.parts, self.best = span, (), 0.0
+        self.n, self.counts, self.head, self.tail = len(text), Counter(text), text[:EDGE], text[-EDGE:]
+        self.placeholder = "placeholder" in text.lower()
+        self.blank = not text.strip()
+        self.lead = text[: len(text) - len(text.lstrip())].count(" ")  # spaces in the white space at the start and the end
+        self.trail = text[len(text.rstrip()) :].count(" ")
+
+    def add(self, other: Value) -> None:
+        """Append another value."""
+        self.placeholder = self.placeholder or other.placeholder or "placeholder" in (self.tail[-10:] + other.head[:10]).lower()
+        self.lead = self.counts[" "] + other.lead if self.blank else self.lead
+        self.trail = self.trail + other.counts[" "] if other.blank else other.trail
+        self.blank = self.blank and other.blank
+        self.head = self.head if len(self.head) >= EDGE else (self.head + other.head)[:EDGE]
+        self.tail = other.tail if len(other.tail) >= EDGE else (self.tail + other.tail)[-EDGE:]
+        self.n += other.n
+        self.counts.update(other.counts)
+
+    def spaced(self) -> bool:
+        """Whether a space stands inside."""
+        return not self.blank and self.counts[" "] > self.lead + self.trail
+
+    def stands_in(self) -> bool:
+        """Whether PLACEHOLDER matches the whole value."""
+        if self.n <= EDGE:
+            return bool(PLACEHOLDER.match(self.head))
+        kinds = {c for c, k in self.counts.items() if k}
+        names = self.head[0] == "$" and self.counts["$"] == 1 and all(re.match("(?i)[A-Z_$]", c) for c in kinds)
+        ends = any(self.head.startswith(a) and self.tail.endswith(b) for a, b in (("<", ">"), ("${", "}"), ("{{", "}}"), ("%(", ")s"), ("%(", ")S")))
+        return kinds <= {"x", "X"} or kinds in ({"*"}, {"."}) or self.head[:4].lower() == "your" or self.placeholder or ends or names
+
+
+def entropy(counts: Counter, n: int) -> float:
     """Bits a character."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+    return -sum(c / n * (math.log2(c) - math.log2(n)) for c in counts.values() if c)
 
 
-def score(name: str, value: str) -> float:
+def score(name: str, value: Value) -> float:
     """0 to 1: how much a value bound to this target name looks like a secret."""
-    if len(value) < MIN_LENGTH or PLACEHOLDER.match(value) or " " in value.strip():
+    how = sensitivity(name)
+    if not how or value.n < MIN_LENGTH or value.stands_in() or value.spaced():
         return 0.0
-    value = value[:MAX_SCORE_LENGTH]
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return sensitivity(name) * min(1.0, 0.4 + 0.1 * mixed + 0.08 * entropy(value))
+    kinds = "".join(value.counts)
+    mixed = sum(bool(re.search(p, kinds)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return how * min(1.0, 0.4 + 0.1 * mixed + 0.08 * entropy(value.counts, value.n))
 
 
-def lex(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """Each assignment in order: target name, its value after propagation, and the spans of the literals that make it."""
-    bound: dict[str, tuple[str, tuple]] = {}
-    out = []
+def lex(text: str) -> tuple[list[tuple[str, Value]], list[Value]]:
+    """Each assignment in order, as target name and value after propagation; and all values, parts before what they make."""
+    bound: dict[str, Value] = {}
+    out, made = [], []
+
+    def leaf(start: int, end: int) -> Value:
+        made.append(Value(text[start:end], (start, end)))
+        return made[-1]
+
     for m in PAIR.finditer(text):
         if m["tag"]:
-            name, value, spans = m["el"], m["body"], ((m.start("body"), m.end("body")),)
+            name, parts = m["el"], [leaf(*m.span("body"))]
         else:
-            name, value, spans = m["name"], "", ()
+            name, parts = m["name"], []
             start, end = m.span("value")
-            plain = True
             for a in ATOM.finditer(text, start, end):
                 raw = a[0]
                 if raw[0] in "\"'":
-                    value, spans = value + raw[1:-1], (*spans, (a.start() + 1, a.end() - 1))
+                    parts.append(leaf(a.start() + 1, a.end() - 1))
                 elif raw in bound:
-                    value, spans = value + bound[raw][0], spans + bound[raw][1]
-                elif plain and a.span() == (start, end):
-                    value, spans = raw, ((start, end),)
-                else:
-                    continue
-                plain = False
-                if len(value) > MAX_SCORE_LENGTH:
-                    break
-        bound[name] = (value, spans[:8])
-        out.append((name, value, spans[:8]))
-    return out
+                    parts.append(bound[raw])
+                elif not parts and a.span() == (start, end):
+                    parts.append(leaf(start, end))
+        if len(parts) == 1:
+            value = parts[0]
+        else:
+            value = Value()
+            for x in parts:
+                value.add(x)
+            value.parts = tuple(parts)
+            made.append(value)
+        bound[name] = value
+        out.append((name, value))
+    return out, made
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the literals that reach a sensitive target."""
-    best: dict[tuple[int, int], float] = {}
-    for name, value, spans in lex(text):
+    assigned, made = lex(text)
+    for name, value in assigned:
         s = score(name.rsplit(".", 1)[-1], value)
         if s >= MIN_SCORE:
-            for x in spans:
-                best[x] = max(s, best.get(x, 0.0))
-    return [("literal", s, e) for s, e in best]
+            value.best = max(s, value.best)
+    for value in reversed(made):
+        for x in value.parts:
+            x.best = max(x.best, value.best)
+    return [("literal", *x) for x in sorted({v.span for v in made if v.span and v.best})]
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -30,3 +30,14 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
     assert [(r.n_hex, r.spans) for r in secrets.scan(df).collect()] == [(0, ""), (0, "")]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_every_literal_of_an_assignment_counts():
+    parts = [f'"Zx{k:02}-q"' for k in range(40)]
+    text = "k = " + " + ".join(parts) + "\nclient_secret = k\n"
+    assert len(secrets.literal_spans(text)) == 40
+    long = 'a = "' + "Zx81-qqPw7" * 500 + '"\npassword = a + "Zx82-qqPw8"'
+    assert len(secrets.literal_spans(long)) == 2
+    doubled = 'a0 = "Zx81-qqPw7"\n' + "".join(f"a{k + 1} = a{k} + a{k}\n" for k in range(2000)) + "password = a2000"
+    assert secrets.literal_spans(doubled) == [("literal", 6, 16)]
+    assert secrets.literal_spans('a = "' + "x" * 5000 + '"\npassword = a + "x"') == []
