@@ -1,12 +1,11 @@
-"""Label rows joined to documents, and joins of checked size."""
+"""Label rows and the bounded sample of labelled documents that a model is fitted on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of (long, int) that may be broadcast: about 50 MB in an executor. Above, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from filigrane.llm.state import cut
 
 
 def remainder(id_col: str, mod: int) -> Column:
@@ -22,7 +21,17 @@ def training(labels: DataFrame, label: str, mod: int, held_out: int, id_col: str
     return rows.groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.col(label).cast("int")).alias("_label"))
 
 
-def with_labels(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", how: str = "left") -> DataFrame:
-    """docs joined to train; broadcasts train only if its counted rows are few."""
-    small = train.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(train) if small else train, docs[id_col] == train["_lid"], how)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, bound: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _label, _text) of about ``bound`` labelled documents, stored; all of them where there are no more.
+
+    Labelled ids that have a document are counted and chosen by a hash of the id, so
+    the choice is the same in every run. Only ids are shuffled for that; the chosen
+    ids, about ``bound``, are broadcast, and their texts alone leave the scan. An id with several documents
+    gives one, that with the least hash of its text."""
+    train = training(labels, label, mod, held_out)
+    known = cut(train.join(docs.select(F.col(id_col).alias("_lid")).distinct(), "_lid", "left_semi"))
+    share = min(1.0, bound / max(1, known.count()))
+    chosen = cut(known.where(F.pmod(F.xxhash64("_lid", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))))
+    texts = docs.select(F.col(id_col).alias("_lid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_lid")
+    one = texts.groupBy("_lid", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("least"))
+    return cut(one.select(F.col("_lid").alias("_id"), "_label", F.col("least.t").alias("_text")))

@@ -1,130 +1,191 @@
 """Toxicity by maximum-scoring segments.
 
-Learning: the documents that hold a term are counted over the whole corpus and
-in the two labelled classes (held-out rows count as unlabelled). A term's
-log-odds between the classes takes the counts over all documents as a Dirichlet
-prior, so rare terms shrink to nothing; the model is the terms whose z-score
-stays significant when all terms tested are allowed for (Bonferroni). A term is
-a word or the first letters of one, which covers inflections that no label has
-shown.
+Learning, on at most about ``TRAIN_DOCS`` labelled documents (held-out rows never
+count): a term is a word or the first letters of one (``PREFIXES``), which covers
+inflections that no label has shown. A term's weight in a document is 1 + ln of
+its occurrences, so no single document makes a term. Terms of ``MIN_DOCS`` toxic
+documents or more are tested against the share of toxic weight (a Chernoff bound
+of the binomial tail); those that pass at a false discovery rate of ``FALSE_RATE``
+over all terms of the toxic documents make the model. A term's score is its
+log-odds between the classes with a Dirichlet prior, whose shape is the term's
+share in all documents of the corpus, counted in a pass over all of them.
 
 Scoring: a document is a sequence of token scores: the log-odds of the model's
-terms, and a fixed cost for all other tokens. One linear scan (Ruzzo and Tompa)
-finds every maximal scoring segment. Segments are judged by extreme-value
-statistics: with lambda from the background token distribution, the sum of the
-r best normalised segments has a known tail, and the document's evidence is its
-best over r. Evidence becomes a probability by a logistic curve fitted to
-histograms of all training documents.
-
-Scale: counting is one aggregation with partial sums before the shuffle; the
-model that travels is at most ``MAX_TERMS`` terms; scoring is row by row.
-
-Edge cases: a null or empty text has no evidence and takes the curve's lowest
-score; ties of terms at the size bound break by the term; without both classes
-in the training rows a default curve is used and no term is learned. Only id
-and text columns are read; repeated rows give repeated results.
+most significant term for the token, and the log-odds of a token outside the model
+for all others. One linear scan (Ruzzo and Tompa) finds every maximal scoring
+segment. As scores are log-odds, the extreme-value law of segment scores has
+rate 1; its constant K is the likeliest for the clean training documents. By
+Karlin and Altschul the sum of the r best normalised segments has a known tail; a
+document's evidence is the best of it over r from one to all its segments.
+Evidence becomes a probability by a logistic curve.
+
+K and the curve are fitted out of sample: training documents fall in ``FOLDS``
+by a hash of their text (copies together) and each is measured by the terms
+learned from the other folds.
+
+Scale: the pass for the prior and the scoring run row by row and shuffle one row
+a task and term of the model; the model that travels is terms of ``MIN_DOCS`` or more
+of the bounded sample's documents.
+
+Edge cases: a null or empty text is one token outside the model. Ties between a
+token's terms go to the longer one. Without both classes in the sample, or
+without a significant term, every score is the smoothed share of label 1. Texts
+of any length are scanned whole. Only id and text columns are read, whatever the
+others are called; repeated rows give repeated results; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigrane.llm.labels import remainder, training, with_labels
-from filigrane.llm.state import cut
+from filigrane.llm.labels import labelled_sample, remainder
 
 MOD, HELD_OUT = 3, 1
-PRIOR_SHARE = 0.02  # weight of the prior: this share of the corpus's counts
-FALSE_TERMS = 0.05  # terms that pass the significance test by chance, over all terms
-MIN_LOG_ODDS = 3.5
-MAX_TERMS = 200_000
-PREFIX = 5
-GAP_COST = -0.7  # score of a token outside the model
-MAX_SCORE = 8.0
-KARLIN_K = 0.1
-SUM_SEGMENTS = 8
+TRAIN_DOCS = 20_000
+FOLDS = 5
+PREFIXES = (4, 5, 6, 7)
+MIN_DOCS = 3
+FALSE_RATE = 0.05
+PRIOR_SHARE = 0.08  # weight of the prior: this share of the labelled documents' weight
 PREDICT_AT = 0.7
-_BIN = 0.25
-_SPLIT = r"[^\p{L}\p{N}]+"
-_WORD = re.compile(r"[^\W_]+")
+LOW, HIGH, BIN = -20.0, 60.0, 0.25  # of the evidence, for the curve
+FLUSH = 200_000  # terms that a task holds before it hands on their sums
+WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Model:
-    words: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
-    rate: float = 1.0  # lambda of the extreme-value law
-    slope: float = 1.0
-    offset: float = -4.0
-
-
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), ""))
-
-
-def _terms(text: Column) -> Column:
-    """Distinct words of the lower-cased text and, marked by ^, the first letters of longer ones."""
-    words = _words(text)
-    return F.concat(words, F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > PREFIX), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(PREFIX))))))
-
-
-def count_terms(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, n, toxic, clean): documents with the term, in all and in the two labelled classes."""
-    labelled = with_labels(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), train, "_id")
-    tokens = labelled.select("_label", F.explode_outer(_terms(F.col("_text"))).alias("term"))  # outer: no filter that splits the text a second time
-    return tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("_label") == 1).alias("toxic"), F.count_if(F.col("_label") == 0).alias("clean"))
-
-
-def _log_odds(counts: DataFrame, totals: dict) -> DataFrame:
-    prior, of_prior = F.col("n") * PRIOR_SHARE, totals["n"] * PRIOR_SHARE
-    odds = lambda y, total: F.log((y + prior) / (F.lit(total + of_prior) - y - prior))
-    delta = odds(F.col("toxic"), totals["toxic"]) - odds(F.col("clean"), totals["clean"])
-    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    return counts.select("term", "clean", delta.alias("delta"), (delta / spread).alias("z")).where(F.col("delta") >= MIN_LOG_ODDS)
-
-
-def karlin_rate(scores: np.ndarray, shares: np.ndarray) -> float:
-    """The positive root of sum(share * exp(rate * score)) = 1; shares of the background's tokens."""
-    low, high = 1e-6, 20.0
-    f = lambda x: float(np.sum(shares * np.exp(np.minimum(x * scores, 500)))) - 1
-    if f(low) >= 0:
-        return 0.1
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return low
-
-
-def learn_terms(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model's terms and its rate; the curve is still the default."""
-    sizes = with_labels(docs.select(F.col(id_col).alias("_id"), F.size(_words(F.col(text_col))).cast("long").alias("_n")), train, "_id").groupBy("_label").agg(F.sum("_n").alias("n")).collect()
-    by = {r._label: r.n for r in sizes}
-    totals = {"n": sum(by.values()), "toxic": by.get(1, 0), "clean": by.get(0, 0)}
-    if not totals["toxic"] or not totals["clean"]:
-        return Model()
-    counts = cut(count_terms(docs, train, id_col, text_col).where("toxic > 1"))
-    least = NormalDist().inv_cdf(1 - FALSE_TERMS / max(1, counts.count()))
-    rows = _log_odds(counts, totals).where(F.col("z") >= least).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    model = Model()
-    for r in rows:
-        (model.prefixes if r.term[0] == "^" else model.words)[r.term.removeprefix("^")] = min(MAX_SCORE, r.delta)
-    own = [(min(MAX_SCORE, r.delta), (r.clean + 0.5) / totals["clean"]) for r in rows if r.term[0] != "^"]
-    if own:
-        shares = np.array([s for _, s in own])
-        model.rate = karlin_rate(np.array([*[s for s, _ in own], GAP_COST]), np.array([*shares, max(1e-9, 1 - shares.sum())]))
-    return model
-
-
-def segments(scores: list[tuple[int, float]], cost: float = GAP_COST) -> list[tuple[int, int, float]]:
+    """terms: score and significance of words and, marked by ^, of first letters; gap: score of any other token."""
+
+    terms: dict[str, tuple[float, float]] = field(default_factory=dict)
+    gap: float = -0.1
+    constant: float = 0.01  # K of the extreme-value law
+    slope: float = 0.0
+    offset: float = 0.0
+    heads: frozenset[str] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.heads = frozenset(t.removeprefix("^")[: PREFIXES[0]] for t in self.terms)
+
+
+def terms_of(word: str) -> Iterator[str]:
+    """The word and its marked first letters, the longest first."""
+    yield word
+    for k in reversed(PREFIXES):
+        if len(word) > k:
+            yield "^" + word[:k]
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def weights(counts: Counter) -> dict[str, float]:
+    """1 + ln of the occurrences of each term, from the words' occurrences."""
+    n: Counter = Counter()
+    for w, k in counts.items():
+        for t in terms_of(w):
+            n[t] += k
+    return {t: 1 + math.log(k) for t, k in n.items()}
+
+
+def _weight(counts: Counter) -> float:
+    """Weight of a document: that of its words."""
+    return len(counts) + math.fsum(map(math.log, counts.values()))
+
+
+def _sums(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+    """(term, fold, docs, weight) summed over rows (_fold, _text); the empty term stands for all words."""
+    shared = rows.sparkSession.sparkContext.broadcast(only) if only is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value if shared else None
+        held: dict[tuple[str, int], list[float]] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array([int(v[0]) for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.float64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, ["term", "fold", "docs", "weight"])
+
+        for b in batches:
+            for fold, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                counts = Counter(words(text.as_py()))
+                every = weights(counts)
+                found = every.items() if known is None else ((t, every[t]) for t in every.keys() & known)
+                for t, w in (("", _weight(counts)), *found):
+                    x = held.setdefault((t, fold), [0, 0.0])
+                    x[0] += 1
+                    x[1] += w
+                if len(held) > FLUSH:
+                    yield out()
+        if held:
+            yield out()
+
+    made = rows.select("_fold", "_text").mapInArrow(run, "term string, fold int, docs long, weight double")
+    return made.groupBy("term").agg(
+        F.sum("docs").alias("docs"),
+        *[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("weight"))), F.lit(0.0)).alias(f"w{k}") for k in range(FOLDS)],
+    )
+
+
+def corpus_shares(docs: DataFrame, terms: frozenset[str], text_col: str) -> dict[str, float]:
+    """Each term's share of the weight of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, Model({t: (0.0, 0.0) for t in terms}).heads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, heads = shared.value
+        total: dict[str, float] = {"": 0.0}
+        for b in batches:
+            for text in b.column(0):
+                counts = Counter(words(text.as_py()))
+                total[""] += _weight(counts)
+                near = Counter({w: n for w, n in counts.items() if w[: PREFIXES[0]] in heads})
+                for t, w in weights(near).items():
+                    if t in known:
+                        total[t] = total.get(t, 0.0) + w
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.float64())], ["term", "weight"])
+
+    sums = docs.select(F.col(text_col)).mapInArrow(run, "term string, weight double").groupBy("term").agg(F.sum("weight").alias("weight")).collect()
+    by = {r.term: r.weight for r in sums}
+    return {t: by.get(t, 0.0) / max(by.get("", 0.0), 1e-9) for t in terms}
+
+
+def significance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """-ln of the Chernoff bound on so much toxic weight by chance; 0 where a term isn't over-represented."""
+    n = toxic + clean
+    p = toxic / np.maximum(n, 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(p > 0, p * np.log(p / share), 0.0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0.0)
+    return np.where(p > share, n * far, 0.0)
+
+
+def least_significance(found: np.ndarray, tested: int) -> float:
+    """The bar of Benjamini and Hochberg at FALSE_RATE; infinite if none passes."""
+    ranked = np.sort(found)[::-1]
+    passes = np.flatnonzero(ranked >= np.log(max(tested, 1) / (FALSE_RATE * np.arange(1, len(ranked) + 1))))
+    return float(ranked[passes[-1]]) if len(passes) else math.inf
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float, share: np.ndarray) -> np.ndarray:
+    """Log-odds between the classes with a Dirichlet prior shaped like the corpus."""
+    whole = PRIOR_SHARE * (all_toxic + all_clean)
+    prior = whole * share
+    odds = lambda y, n: np.log((y + prior) / np.maximum(n + whole - y - prior, 1e-9))
+    return odds(toxic, all_toxic) - odds(clean, all_clean)
+
+
+def segments(scores: list[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
     """Every maximal scoring segment (first, last, score) of a sequence given by its positive places; other places score cost.
 
     The linear scan of Ruzzo and Tompa: a stack of candidates with the running sums before and after each."""
@@ -146,47 +207,41 @@ def segments(scores: list[tuple[int, float]], cost: float = GAP_COST) -> list[tu
     return [(a, b, after - before) for before, after, a, b in stack]
 
 
-def evidence(found: list[tuple[int, int, float]], n_tokens: int, rate: float) -> float:
-    """-log10 of the tail probability of the best sum of normalised segment scores; 0 without a segment."""
-    if not found:
-        return 0.0
-    best = heapq.nlargest(SUM_SEGMENTS, (s for _, _, s in found))
-    total, most = 0.0, 0.0
-    for r, s in enumerate(best, 1):
-        total += rate * s - math.log(KARLIN_K * max(n_tokens, 1))
-        if total > 0:
-            log_p = -total + (r - 1) * math.log(max(total, 1e-9)) - math.lgamma(r + 1) - math.lgamma(r)
-            most = max(most, -log_p / math.log(10) - (r > 1) * math.log10(2) * (r - 1))
-    return most
+def hits(found: list[str], model: Model) -> list[tuple[int, float]]:
+    """Places and scores of the tokens that the model knows."""
+    terms, heads, known = model.terms, model.heads, {}
+    for w in {w for w in set(found) if w[: PREFIXES[0]] in heads}:
+        best = max((terms[t][::-1] for t in terms_of(w) if t in terms), key=lambda x: x[0], default=None)
+        if best:
+            known[w] = best[1]
+    return [(i, known[w]) for i, w in enumerate(found) if w in known] if known else []
 
 
 def passages(text: str | None, model: Model) -> tuple[list[tuple[int, int, float]], int]:
-    """Maximal segments in token places, and the number of tokens."""
-    tokens = _WORD.findall((text or "").lower())
-    words, prefixes = model.words, model.prefixes
-    known = {w: max(words.get(w, 0.0), prefixes.get(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0) for w in set(tokens) if w in words or w[:PREFIX] in prefixes}
-    hits = [(i, known[w]) for i, w in enumerate(tokens) if w in known and known[w] > 0] if known else []
-    return segments(hits), len(tokens)
-
-
-def _evidence_column(model: Model, text: Column, spark) -> Column:
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms
-
-    @F.pandas_udf("double")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        for texts in batches:
-            yield pd.Series([evidence(*passages(t, m), m.rate) for t in texts], dtype="float64")
-
-    return measure(text)
+    """Maximal segments in token places, and the number of tokens, one at least."""
+    found = words(text)
+    return segments(hits(found, model), model.gap), max(1, len(found))
+
+
+def evidence(found: Iterable[float], n_tokens: int, constant: float) -> float:
+    """-ln of the tail probability of the best sum of normalised segment scores, over any number of segments.
+
+    A text has a segment's worth of chances at least, however short it is."""
+    base = math.log1p(constant * n_tokens)
+    total, most = 0.0, -base
+    for r, s in enumerate(sorted(found, reverse=True), 1):
+        total += s - base
+        if r == 1:
+            most = total
+        elif total > r:
+            most = max(most, total - (r - 1) * (math.log(total) + math.log(2)) + math.lgamma(r + 1) + math.lgamma(r))
+    return most
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Logistic slope and offset for (evidence, label, rows), by Newton steps with a weak ridge."""
     x = np.array([b[0] for b in bins], float)
     y, n = np.array([b[1] for b in bins], float), np.array([b[2] for b in bins], float)
-    if not len(x) or y.min() == y.max():
-        return Model.slope, Model.offset
     w = np.array([1.0, -2.0])
     design = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
@@ -195,24 +250,86 @@ def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
         hess = (design * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-    return (float(max(w[0], 1e-3)), float(w[1]))
+    return float(max(w[0], 1e-3)), float(w[1])
+
+
+def _measured(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """(_label, n, hits, scores) of the sample's documents, each by the model of its fold."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for label, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                model, found = shared.value[fold], words(text.as_py())
+                own = hits(found, model)
+                rows.append((label, max(1, len(found)), len(own), sorted((s for _, _, s in segments(own, model.gap)), reverse=True)))
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["label", "n", "hits", "scores"])
+
+    return sample.select("_label", "_fold", "_text").mapInArrow(run, "label int, n long, hits long, scores array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
-    """Terms, rate and curve from the rows outside the held-out part."""
-    train = cut(training(labels, label, MOD, HELD_OUT))
-    model = learn_terms(docs, train, id_col, text_col)
-    rows = with_labels(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), train, "_id", "inner")
-    seen = rows.select("_label", _evidence_column(model, F.col("_text"), docs.sparkSession).alias("e"))
-    bins = seen.groupBy((F.round(F.least("e", F.lit(200.0)) / _BIN) * _BIN).alias("x"), "_label").agg(F.count("*").alias("n"))
-    model.slope, model.offset = _curve([(r.x, r._label, r.n) for r in bins.collect()])
+    """Terms, gap, constant and curve from the rows outside the held-out part."""
+    sample = labelled_sample(docs, labels, label, MOD, HELD_OUT, TRAIN_DOCS, id_col, text_col)
+    sample = sample.withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int"))
+    sizes = {r._label: r["count"] for r in sample.groupBy("_label").count().collect()}
+    n, ones = sum(sizes.values()), sum(k for y, k in sizes.items() if y)
+    level = math.log((ones + 0.5) / (n - ones + 0.5))
+    if not ones or ones == n:
+        return Model(offset=level)
+    toxic = _sums(sample.where("_label <> 0"), None).persist()
+    tested = toxic.count() - 1
+    rows = {r.term: r for r in toxic.where((F.col("docs") >= MIN_DOCS) | (F.col("term") == "")).collect()}
+    toxic.unpersist()
+    other = {r.term: r for r in _sums(sample.where("_label = 0"), frozenset(rows) - {""}).collect()}
+    names = sorted(rows)  # "" first
+    table = lambda by: np.array([[by[t][f"w{k}"] if t in by else 0.0 for k in range(FOLDS)] for t in names])
+    t, c = table(rows), table(other)
+    parts = [(t.sum(1), c.sum(1))] + [(t.sum(1) - t[:, k], c.sum(1) - c[:, k]) for k in range(FOLDS)]
+    strong = [significance(a[1:], b[1:], a[0] / max(a[0] + b[0], 1e-9)) for a, b in parts]
+    bar = least_significance(strong[0], tested)
+    chosen = [np.flatnonzero(s >= bar) for s in strong]
+    if not len(chosen[0]):
+        return Model(offset=level)
+    share = corpus_shares(docs, frozenset(names[1 + i] for i in np.unique(np.concatenate(chosen))), text_col)
+    models = []
+    for (a, b), s, at in zip(parts, strong, chosen, strict=True):
+        delta = log_odds(a[1:][at], b[1:][at], a[0], b[0], np.array([share[names[1 + i]] for i in at]))
+        models.append(Model({names[1 + i]: (float(d), float(s[i])) for i, d in zip(at, delta, strict=True) if d > 0}))
+    density = {r.kind: r.hits / r.n for r in _measured(sample, models[1:]).groupBy(F.when(F.col("label") == 0, 0).when(F.col("hits") > 0, 1).alias("kind")).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
+    gap = math.log(max(1e-6, 1 - density.get(1, 0.1))) - math.log(max(1e-6, 1 - density.get(0, 0.0)))
+    for m in models:
+        m.gap = min(gap, -1e-3)
+    seen = _measured(sample, models[1:])
+    best = F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0))
+    mean = seen.where("label = 0").agg(F.avg(F.col("n") * F.exp(-best)).alias("m")).first().m
+    model = models[0]
+    model.constant = 1 / max(mean, 1e-9)
+    judge = F.udf(lambda scores, k: evidence(scores, k, 1 / max(mean, 1e-9)), "double")
+    x = F.round(F.least(F.greatest(judge("scores", "n"), F.lit(LOW)), F.lit(HIGH)) / BIN) * BIN
+    bins = seen.groupBy(x.alias("x"), (F.col("label") != 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()
+    model.slope, model.offset = _curve([(r.x, r.y, r.n) for r in sorted(bins)])
     return model
 
 
+def probability(e: float, model: Model) -> float:
+    return 1 / (1 + math.exp(-(min(max(e, LOW), HIGH) * model.slope + model.offset)))
+
+
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs and the score in the column named by out."""
-    e = _evidence_column(model, F.col(text_col), docs.sparkSession)
-    return docs.withColumn(out, 1 / (1 + F.exp(-(F.least(e, F.lit(200.0)) * model.slope + model.offset))))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for texts in batches:
+            found = (passages(t, m) for t in texts)
+            yield pd.Series([probability(evidence((s for _, _, s in own), n, m.constant), m) for own, n in found], dtype="float64")
+
+    return docs.withColumn(out, measure(F.col(text_col)) if model.terms else F.lit(probability(0.0, model)))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

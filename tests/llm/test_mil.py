@@ -1,7 +1,12 @@
+import collections
+import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from filigrane.llm import mil
 
@@ -43,6 +48,87 @@ def test_one_bad_passage_is_found():
     assert np.mean((p > 0.5) == np.array(y)) > 0.95
 
 
+def plain_measures(words, text):
+    """Measures of one passage, word by word: its words and the stretch of text that holds them."""
+    n, chars, letters = len(words), sum(map(len, words)), "".join(words)
+    mean, counts = chars / n, collections.Counter(words)
+    symbols = [text.count(c) for c in mil._SYMBOLS]
+    return [
+        n / mil.PASSAGE, len(text) / (8 * mil.PASSAGE), mean / 8, (sum((len(w) - mean) ** 2 for w in words) / n) ** 0.5 / 8, min(max(map(len, words)), 100) / 50,
+        sum(symbols) / chars, sum(c > 0 for c in symbols) / 8, text.count("|") / n, sum(text.count(c) for c in mil._POINTS) / n, sum(w[-1] in mil._SYMBOLS for w in words) / n,
+        sum(c in "0123456789" for c in letters) / chars, sum(c.isupper() for c in letters) / chars, sum(ord(c) > 127 for c in letters) / chars, text.count("\n") / n, sum(w in mil._STOP for w in words) / n,
+        len(counts) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, max(counts.values()) / n, sum(len(w) == 1 for w in words) / n, sum(w[0].isupper() for w in words) / n,
+    ]
+
+
+def plain_bag(text):
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    parts = [found[k : k + mil.PASSAGE] for k in range(0, len(found), mil.PASSAGE)]
+    return np.array([plain_measures([m[0] for m in p], text[p[0].start() : p[-1].end()]) for p in parts] or [[0.0] * len(mil.MEASURES)])
+
+
+def random_text(rng, n):
+    return "".join(rng.choice(["the ", "The", "und ", "a", " ", "\n", "\t", "é", "Ä", "9", "%", "| ", "#", ". ", "река", "\U0001f600", "word "]) for _ in range(n))
+
+
+def test_measures_equal_a_plain_version(monkeypatch):
+    rng = random.Random(6)
+    texts = [random_text(rng, rng.choice([0, 1, 5, 90, 800])) for _ in range(120)] + [None, "", " \n ", "x" * 300]
+    for stretch in (1 << 20, 700):
+        monkeypatch.setattr(mil, "STRETCH_CHARS", stretch)
+        got = [b for group in mil.bags(texts) for b in group]
+        assert len(got) == len(texts)
+        for t, b in zip(texts, got, strict=True):
+            np.testing.assert_allclose(b, plain_bag(t), atol=2e-6)
+
+
+def plain_score(model, bag):
+    """The network's score of one document, passage by passage."""
+    w, logistic = model.weights, lambda v: 1 / (1 + math.exp(-v))
+    hidden, heat = [], []
+    for row in bag:
+        x = [min(max((v - m) / s, -8), 8) for v, m, s in zip(row, model.shift, model.scale, strict=True)]
+        h = [math.tanh(sum(x[i] * float(w["E"][i][j]) for i in range(len(x))) + float(w["e"][j])) for j in range(mil.HIDDEN)]
+        gate = [math.tanh(sum(h[i] * float(w["V"][i][j]) for i in range(len(h)))) * logistic(sum(h[i] * float(w["U"][i][j]) for i in range(len(h)))) for j in range(mil.ATTENTION)]
+        hidden.append(h)
+        heat.append(math.exp(sum(g * float(v) for g, v in zip(gate, w["w"], strict=True))))
+    z = [sum(a * h[j] for a, h in zip(heat, hidden, strict=True)) / sum(heat) for j in range(mil.HIDDEN)]
+    return logistic(sum(a * float(o) for a, o in zip(z, w["o"], strict=True)) + float(w["b"][0]))
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    texts = [random_text(rng, rng.choice([4, 60, 900])) for _ in range(60)]
+    labels = [int(t.count("%") * 17 < len(t)) for t in texts]
+    model = mil.train([plain_bag(t).astype(np.float32) for t in texts], np.array(labels))
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    got = {r.doc_id: r.p for r in docs.select("doc_id", mil.score_column(model, docs.text, spark).alias("p")).collect()}
+    for i, t in enumerate([*texts, None, ""]):
+        assert abs(got[i] - plain_score(model, plain_bag(t))) < 1e-4
+
+
+def test_training_takes_whole_bags_and_documents_that_exist(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (6400 if i == 3 else 100)) for i in range(40)] + [(7, "word")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "train", lambda b, y: seen.append((b, y)) or mil.Model(np.zeros(20), np.ones(20), {}, 0.5))
+    mil.fit(docs, labels)
+    sizes = [len(b) for b in seen[0][0]]
+    expected = [1 if i == 7 else 100 if i == 3 else 2 for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(sizes) == sorted(expected) or sorted(sizes) == sorted([2 if k == 1 else k for k in expected])
+    monkeypatch.setattr(mil, "TRAIN_PASSAGES", 20)
+    mil.fit(docs, labels)
+    assert 18 <= sum(map(len, seen[1][0])) <= 20 and 100 not in map(len, seen[1][0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_held_out_rows_of_the_driver(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        got = mil.scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+        assert np.mean([r.predicted == r.quality for r in got]) >= 0.96
+
+
 def test_every_passage_is_encoded():
     text = " ".join(f"w{i}" for i in range(1000))
     assert len(mil.encode(text)) == 16

@@ -1,8 +1,13 @@
+import collections
+import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filigrane.llm import toxicity
 
@@ -40,12 +45,118 @@ def test_segments_equal_their_definition():
         assert got == brute_segments(scores)
 
 
-def test_rate_and_evidence():
-    rate = toxicity.karlin_rate(np.array([5.0, -0.7]), np.array([0.001, 0.999]))
-    assert abs(0.001 * np.exp(5 * rate) + 0.999 * np.exp(-0.7 * rate) - 1) < 1e-6
-    assert toxicity.evidence([], 0, 1.0) == 0.0
-    assert toxicity.evidence([(0, 0, 8.0)], 50, 1.0) < toxicity.evidence([(0, 0, 8.0), (9, 9, 8.0)], 50, 1.0)
-    assert toxicity.evidence([(0, 0, 8.0)], 50, 1.0) > toxicity.evidence([(0, 0, 8.0)], 5000, 1.0)
+def test_evidence():
+    assert toxicity.evidence([], 1, 0.01) < 0
+    assert toxicity.evidence([8.0], 50, 0.01) < toxicity.evidence([8.0, 8.0], 50, 0.01)
+    assert toxicity.evidence([8.0], 50, 0.01) > toxicity.evidence([8.0], 5000, 0.01)
+    many = [9.0] * 30
+    assert toxicity.evidence(many, 20000, 0.01) > toxicity.evidence(many[:8], 20000, 0.01)
+
+
+def test_the_bar_is_that_of_benjamini_and_hochberg():
+    rng = random.Random(4)
+    for _ in range(50):
+        found = [rng.uniform(0, 14) for _ in range(rng.randint(1, 30))]
+        tested = rng.randint(len(found), 500)
+        p = sorted(math.exp(-g) for g in found)
+        passing = [i for i, x in enumerate(p, 1) if x <= toxicity.FALSE_RATE * i / tested]
+        bar = toxicity.least_significance(np.array(found), tested)
+        assert sum(g >= bar for g in found) == (max(passing) if passing else 0)
+
+
+def brute_model(rows):
+    """(text, label, fold) of labelled documents, and the corpus → terms and scores by their definition, and for each fold those learned without it."""
+
+    def weigh(text):
+        ws = re.findall(r"[^\W_]+", text.lower())
+        every = [t for w in ws for t in [w, *["^" + w[:k] for k in (4, 5, 6, 7) if len(w) > k]]]
+        return {t: 1 + math.log(every.count(t)) for t in set(every)}, sum(1 + math.log(ws.count(w)) for w in set(ws))
+
+    labelled, corpus = rows
+    seen = [(y, k, *weigh(t)) for t, y, k in labelled]
+    everywhere = [weigh(t) for t in corpus]
+    whole = sum(n for _, n in everywhere)
+    vocabulary = {t for y, _, ws, _ in seen if y for t in ws}
+    heavy = {t for t in vocabulary if sum(t in ws for y, _, ws, _ in seen if y) >= toxicity.MIN_DOCS}
+
+    def strength(without):
+        sums = {y: (collections.Counter(), 0.0) for y in (0, 1)}
+        for y, k, ws, n in seen:
+            if k != without:
+                for t in heavy & set(ws):
+                    sums[y][0][t] += ws[t]
+                sums[y] = (sums[y][0], sums[y][1] + n)
+        (c, nc), (x, nx) = sums[0], sums[1]
+        share, out = nx / (nx + nc), {}
+        for t in heavy:
+            n = x[t] + c[t]
+            p = x[t] / n if n else 0
+            out[t] = 0.0 if p <= share else n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0))
+        return out, x, c, nx, nc
+
+    ranked = sorted(strength(None)[0].values(), reverse=True)
+    passing = [g for i, g in enumerate(ranked, 1) if math.exp(-g) <= toxicity.FALSE_RATE * i / len(vocabulary)]
+    models = []
+    for k in (None, *range(toxicity.FOLDS)):
+        strong, x, c, nx, nc = strength(k)
+        a, model = toxicity.PRIOR_SHARE * (nx + nc), {}
+        for t in heavy:
+            if strong[t] >= passing[-1]:
+                prior = a * sum(ws.get(t, 0) for ws, _ in everywhere) / whole
+                score = math.log((x[t] + prior) / (nx + a - x[t] - prior)) - math.log((c[t] + prior) / (nc + a - c[t] - prior))
+                if score > 0:
+                    model[t] = (score, strong[t])
+        models.append(model)
+    return models
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(31)
+    texts, labels = [], []
+    for i in range(260):
+        ws = [rng.choice(["the", "of", "river", "houses", "walked", "window"]) for _ in range(rng.randint(3, 40))]
+        for _ in range(2 * (i % 5 == 0)):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["morons", "moronic", "scum"]))
+        texts.append(" ".join(ws))
+        labels.append(int(i % 5 == 0) if i % 17 else 1 - int(i % 5 == 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.scores(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")).collect()}
+    fold = {r.doc_id: r.k for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(toxicity.FOLDS)).alias("k")).collect()}
+    train = [i for i in range(260) if zlib.crc32(str(i).encode()) % 3 != 1]
+    models = brute_model(([(texts[i], labels[i], fold[i]) for i in train], texts))
+    assert any(t.startswith("^moro") for t in models[0]) and "scum" in models[0]
+
+    def known(text, model):
+        ws, out = text.split(), []
+        for w in ws:
+            own = [t for t in [w, *["^" + w[:k] for k in (7, 6, 5, 4) if len(w) > k]] if t in model]
+            out.append(model[max(own, key=lambda t: model[t][1])][0] if own else None)
+        return out
+
+    def best(text, model, gap):
+        return sorted((s for _, _, s in brute_segments([gap if s is None else s for s in known(text, model)])), reverse=True)
+
+    found = {i: known(texts[i], models[1 + fold[i]]) for i in train}
+    rate = lambda ids: sum(s is not None for i in ids for s in found[i]) / sum(len(found[i]) for i in ids)
+    gap = math.log(1 - rate([i for i in train if labels[i] and any(found[i])])) - math.log(1 - rate([i for i in train if not labels[i]]))
+    apart = {i: best(texts[i], models[1 + fold[i]], gap) for i in train}
+    constant = 1 / np.mean([len(found[i]) * math.exp(-(apart[i] or [0.0])[0]) for i in train if not labels[i]])
+    clip = lambda e: min(max(e, toxicity.LOW), toxicity.HIGH)
+    x = {i: round(clip(toxicity.evidence(apart[i], len(found[i]), constant)) / toxicity.BIN) * toxicity.BIN for i in train}
+    slope, offset = toxicity._curve([(x[i], labels[i], 1) for i in train])
+    for i, t in enumerate(texts):
+        e = clip(toxicity.evidence(best(t, models[0], gap), len(t.split()), constant))
+        assert abs(got[i].score - 1 / (1 + math.exp(-(slope * e + offset)))) < 1e-3, i
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_held_out_rows_of_the_driver(spark):
+    """Label noise bounds the recall: about one toxic document in twenty has no toxic word."""
+    for sf, recall, alarms in (("sf0.01", 0.85, 0.03), ("sf0.1", 0.9, 0.002)):
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        got = toxicity.scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+        assert np.mean([r.predicted for r in got if r.toxic]) >= recall
+        assert np.mean([r.predicted for r in got if r.toxic == 0]) <= alarms
 
 
 @pytest.fixture(scope="module")
