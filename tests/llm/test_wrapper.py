@@ -1,4 +1,10 @@
+import os
 import random
+import re
+import time
+from collections import defaultdict
+
+import pytest
 
 from filigrane.llm import wrapper
 
@@ -92,3 +98,97 @@ def test_induction_overrules_class_names():
     assert wrapper.extract([page(k, body(k)) for k in range(8)]) == [f"T{k}\n{story(k)}" for k in range(8)]
     alone = f'<nav>Menu</nav><div class="content has-sidebar"><p>{story(1)}</p></div>'
     assert wrapper.extract([alone]) == [story(1)]
+
+
+def story_pages(n, seed=5):
+    """Pages of one host whose article nothing marks: menu, advert, article, foot, all of them different on each page."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(rng.choice(["red", "blue", "tall", "sea", "hill"]) + str(rng.randrange(999)) for _ in range(k))
+    pages, texts = [], []
+    for _ in range(n):
+        told = [words(4), *(words(rng.randint(8, 60)) for _ in range(rng.randint(1, 6)))]
+        menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in words(6).split())
+        note = f"<div>{words(5)}</div>" if rng.random() < 0.7 else ""
+        story = f"<h1>{told[0]}</h1>" + "".join(f"<p>{t}</p>" for t in told[1:])
+        pages.append(f"<html><body><div><ul>{menu}</ul></div>{note}<div class='x{rng.randrange(99)}'>{story}</div><div>&copy; {words(4)}</div></body></html>")
+        texts.append("\n".join(told))
+    return pages, texts
+
+
+def test_induction_finds_unmarked_articles(monkeypatch):
+    pages, texts = story_pages(60)
+    assert wrapper.extract(pages) == texts
+    monkeypatch.setattr(wrapper, "MIN_PAGES", 1000)
+    assert sum(a == b for a, b in zip(wrapper.extract(pages), texts, strict=True)) == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_induction_alone_on_the_drivers_pages(spark, monkeypatch):
+    """Without marks, without class names and with no list of unwanted tags but head, script and style."""
+    hosts = defaultdict(list)
+    rng = random.Random(2)
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        hosts[re.match(r"\w+://([^/?#:]*)", r.url)[1].lower()].append(r.html)
+    bare = lambda h: re.sub(r'class="[^"]*"', lambda m: f'class="x{rng.randrange(999)}"', re.sub(r"<(/?)(article|main)\b", r"<\1div", h))
+    marked = {host: wrapper.extract(pages) for host, pages in hosts.items()}
+    monkeypatch.setattr(wrapper, "DROP_TAGS", frozenset(("head", "script", "style")))
+    monkeypatch.setattr(wrapper, "DROP_WORDS", frozenset())
+    monkeypatch.setattr(wrapper, "DROP_ROLES", frozenset())
+    wrapper._unwanted.cache_clear()
+    same = [a == b for host, pages in hosts.items() for a, b in zip(wrapper.extract(list(map(bare, pages))), marked[host], strict=True)]
+    wrapper._unwanted.cache_clear()
+    assert len(same) == 2500 and sum(same) >= 0.95 * len(same)
+
+
+def test_rows_equal_the_plain_version_at_any_partitioning(spark):
+    rows = []
+    for k, n in enumerate((30, 7, 3, 1)):
+        pages, _ = story_pages(n, k)
+        rows += [(f"https://H{k}.example:80/{i}", h) for i, h in enumerate(pages)]
+    rows += [(None, None), (None, ""), ("nonsense", "<p>a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    hosts = defaultdict(list)
+    for i, (url, html) in enumerate(rows):
+        hosts[re.sub(r"^https://(\w+).*", r"\1", url) if url and "//" in url else ""].append((i, html))
+    want = {i: t for own in hosts.values() for (i, _), t in zip(own, wrapper.extract([h for _, h in own]), strict=True)}
+    for partitions in (1, 4, 50):
+        assert {r.page_id: r.text for r in wrapper.main_text(df, partitions=partitions).collect()} == want
+
+
+def test_attributes_are_read_as_pairs():
+    for html, want in (
+        ('<div style="overflow:hidden"><p>Article text here</p></div>', "Article text here"),
+        ('<p title="hidden gems" data-role="search">kept</p>', "kept"),
+        ('<article><p>a</p><div id="comment-syntax"><p>kept</p></div></article>', "a\nkept"),
+        ('<p>a</p><div class="site-footer">x</div><div class="post-comments">y</div><p hidden>z</p><p aria-hidden=true>z</p><p role="Search">z</p>', "a"),
+    ):
+        assert wrapper.extract([html]) == [want]
+
+
+def test_hostile_pages_take_linear_time():
+    rng = random.Random(1)
+    mixed = "".join("<div>" + "".join(f"<{t}>x</{t}>" for t in rng.sample(["ul", "ol", "dl", "pre", "table", "section", "h3", "h4"], 4)) + "</div>" for _ in range(4000))
+    for html in ("<a " * 350_000, '<a "' * 250_000, "<p>t</p><ul><li>x</ul>" * 10_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<div>" * 100_000 + "x" + "</p>" * 100_000, mixed):
+        began = time.perf_counter()
+        assert len(wrapper.extract([html + f"<p>{k}</p>" for k in range(4)])) == 4
+        assert time.perf_counter() - began < 40
+
+
+def test_matching_equals_brute_force():
+    rng = random.Random(7)
+
+    def tree(depth):
+        return (rng.choice("ab"), tuple(tree(depth - 1) for _ in range(rng.randint(0, 3)))) if depth else (rng.choice("ab"), ())
+
+    def brute(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def best(i, j):
+            return 0 if i == len(a[1]) or j == len(b[1]) else max(best(i + 1, j), best(i, j + 1), brute(a[1][i], b[1][j]) + best(i + 1, j + 1) if a[1][i][0] == b[1][j][0] else 0)
+
+        return 1 + best(0, 0)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert wrapper.matched(a, b) == brute(a, b)
