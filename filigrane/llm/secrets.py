@@ -6,8 +6,12 @@ configuration: ``name = literal``, ``name: literal``, ``"name": "literal"``,
 ``name := a + "b"``, ``<name>literal</name>``. Names bound to literals are kept
 as constants and propagated through plain names and concatenations, so a
 literal bound to an innocent name counts when that name later reaches a
-sensitive target. Each literal is scored by its most sensitive target name, its
-length and its entropy; placeholders score nothing.
+sensitive target. Literals are quoted strings, the bodies of elements and bare
+values of configuration: a bare word that is all of its line's value, unless it
+reads as a name or an expression (letters only, unless it is written NAME=value
+from the start of a line; dotted; or called or indexed). Each literal is scored
+by its most sensitive target name, its length and its entropy; placeholders score
+nothing, and values with spaces only as passphrases of ``PHRASE_WORDS`` plain words.
 
 A value is kept as its parts, shared between the names that hold it, and as
 running counts of its characters, so all literals of an assignment count and the
@@ -17,8 +21,10 @@ Everything happens inside one row: memory is one text, its names and the distinc
 characters of their values; nothing is shuffled.
 
 Edge cases: a null text counts as empty. Later bindings of a name replace
-earlier ones from there on; a name that is never bound contributes nothing.
-Only the id and text columns are read; repeated rows give repeated results.
+earlier ones from there on; a name that is never bound contributes nothing. Spans
+of one start go by kind, then end. Texts of any length are read whole. Only the id
+and text columns are read, whatever the others are called; repeated rows give
+repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,17 +44,22 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
 #: What any name in ASSIGN, and any sensitive target, contains in lower case.
-PROBES = (b"passw", b"secret", b"token", b"api", b"pwd", b"passphrase", b"credential", b"private", b"auth", b"key", b"dsn")
+PROBES = (b"passw", b"secret", b"token", b"api", b"pwd", b"passphrase", b"credential", b"private", b"auth", b"key", b"dsn", b"signing", b"encryption")
 
 #: Weight of a target name by the words in it.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "private": 0.5, "key": 0.5, "access": 0.3, "dsn": 0.5, "signing": 0.4, "encryption": 0.4, "client": 0.1}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|todo|undefined|changeme|example|your.*|.*placeholder.*|<.*>|\$\{.*\}|\$[A-Z_]+|\{\{.*\}\}|%\(.*\)s)$")
 MIN_LENGTH, MIN_SCORE = 6, 0.6
+PHRASE_WORDS = range(3, 25)
 EDGE = 4096  # characters kept of either end of a value; a value up to this length is kept whole
 
 _ATOM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_$][\w.$-]*+|[A-Za-z0-9+/_.=@:!?%^&*~-]++)"""
 PAIR = re.compile(rf"""(?P<tag><(?P<el>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]++)</)|["']?(?P<name>(?<![\w.$-])[A-Za-z_$][\w.$-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+(?P<value>{_ATOM}(?:[\x20\t]*+\+[\x20\t]*+{_ATOM})*+)""", re.A)
 ATOM = re.compile(_ATOM, re.A)
+ENDS_LINE = re.compile(r"[\x20\t]*+(?:,[\x20\t]*+)?(?:\r?\n|\Z)|[\x20\t]++(?:#|//|;)")
+NAME_LIKE = re.compile(r"[A-Za-z_$]+\Z|[A-Za-z_$][\w$-]*(?:\.[A-Za-z_$][\w$-]*)+\Z", re.A)
+BARE = re.compile(r"[A-Za-z0-9+/_.=@:!?%^&*~$-]++")
+PHRASE = re.compile(r"[^\W_]+(?: [^\W_]+)+\Z")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -98,6 +109,13 @@ class Value:
         """Whether a space stands inside."""
         return not self.blank and self.counts[" "] > self.lead + self.trail
 
+    def phrase(self) -> bool:
+        """Whether the value reads as a passphrase: plain words, none of which says what it is for."""
+        if self.n > EDGE or not PHRASE.match(self.head):
+            return False
+        words = self.head.lower().split()
+        return len(words) in PHRASE_WORDS and not {"your", "enter", "the", "a"}.intersection(words) and not any(w in SENSITIVE for w in words)
+
     def stands_in(self) -> bool:
         """Whether PLACEHOLDER matches the whole value."""
         if self.n <= EDGE:
@@ -116,17 +134,28 @@ def entropy(counts: Counter, n: int) -> float:
 def score(name: str, value: Value) -> float:
     """0 to 1: how much a value bound to this target name looks like a secret."""
     how = sensitivity(name)
-    if not how or value.n < MIN_LENGTH or value.stands_in() or value.spaced():
+    if not how or value.n < MIN_LENGTH or value.stands_in() or value.spaced() and not (how >= 0.9 and value.phrase()):
         return 0.0
     kinds = "".join(value.counts)
     mixed = sum(bool(re.search(p, kinds)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return how * min(1.0, 0.4 + 0.1 * mixed + 0.08 * entropy(value.counts, value.n))
 
 
+def _bare(text: str, m: re.Match, run: re.Match | None, bound: dict[str, Value]) -> tuple[int, int] | None:
+    """The span of an unquoted value of configuration; run: the unquoted characters from the value's start on."""
+    if not run or not ENDS_LINE.match(text, run.end()) or run[0] in bound:
+        return None
+    if all(x in bound or NAME_LIKE.match(x) for x in run[0].split("+")):
+        first = m.start() == 0 or text[m.start() - 1] == "\n"
+        if not first or "." in run[0] or "+" in run[0] or text[m.end("name") : run.start()] != "=":
+            return None
+    return run.span()
+
+
 def lex(text: str) -> tuple[list[tuple[str, Value]], list[Value]]:
     """Each assignment in order, as target name and value after propagation; and all values, parts before what they make."""
     bound: dict[str, Value] = {}
-    out, made = [], []
+    out, made, tried = [], [], 0
 
     def leaf(start: int, end: int) -> Value:
         made.append(Value(text[start:end], (start, end)))
@@ -137,15 +166,17 @@ def lex(text: str) -> tuple[list[tuple[str, Value]], list[Value]]:
             name, parts = m["el"], [leaf(*m.span("body"))]
         else:
             name, parts = m["name"], []
-            start, end = m.span("value")
-            for a in ATOM.finditer(text, start, end):
+            run = BARE.match(text, m.start("value")) if m.start("value") >= tried else None  # inside an earlier run nothing is a value of its own
+            tried = max(tried, run.end() if run else 0)
+            bare = _bare(text, m, run, bound)
+            if bare:
+                parts.append(leaf(*bare))
+            for a in () if bare else ATOM.finditer(text, *m.span("value")):
                 raw = a[0]
                 if raw[0] in "\"'":
                     parts.append(leaf(a.start() + 1, a.end() - 1))
                 elif raw in bound:
                     parts.append(bound[raw])
-                elif not parts and a.span() == (start, end):
-                    parts.append(leaf(start, end))
         if len(parts) == 1:
             value = parts[0]
         else:
