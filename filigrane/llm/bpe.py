@@ -1,32 +1,38 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes meets a mask, so equal
-passages are cut alike wherever they stand. Each task keeps a memo, bounded in
-bytes, from chunk to encoding: a chunk that the task's documents share is
-encoded once. A join between two chunks agrees with the encoding of the whole text
-if the left one ends in white space, which every pre-tokenizer piece and every
-normalisation stops at; other joins are repaired by encoding the two sides
-together, and again with the next chunk, until they agree.
-
-Inside a chunk the vocabulary's own pre-tokenizer pieces are encoded by the
-tokenizers library once each and kept in a second bounded memo. Characters
-whose case, composition or class the library and Python may see differently,
-and added tokens written in a text, take the library's path for the whole text.
-
-Memory: one Arrow batch, the two memos (``memo_mb``, emptied when a task ends, as
+passages are cut alike wherever they stand. A chunk is encoded by itself and kept in
+a memo: a chunk that the documents of a task share is encoded once. A cut seldom
+falls between words, so the joins are repaired: the runs of text at a join are
+encoded together with the one before and the one after, by the library and as one
+text; if at both ends the ids agree with those of the chunks, what is between
+them takes the place of what the chunks had, otherwise the window grows by one
+more run on either side until they agree or it is the whole text. Where no white
+space stands between several cuts, their chunks are repaired as one.
+
+Inside a chunk, runs between ASCII white space, which every pre-tokenizer piece and
+every normalisation stops at, are taken from a second memo; new ones come apart
+at the vocabulary's pre-tokenizer pattern, and the library's BPE model encodes
+each new piece. Runs with characters whose case, composition or class the library
+and Python may see differently, or with an added token, go to the library whole.
+
+Memory: one Arrow batch, the memos (``memo_mb``, emptied when a task ends, as
 idle workers keep theirs otherwise) and the vocabulary.
 Nothing is shuffled and no state crosses tasks, so a lost task is simply run
 again. The vocabulary is read by its path on each executor.
 
 Edge cases: a null or empty text has no tokens, an empty id string and an empty
 decoded text. Texts of any length are encoded whole. Only the id and text
-columns are read; repeated rows give repeated results.
+columns are read, whatever the others are called; repeated rows give repeated
+results, so ties can't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -41,19 +47,24 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Characters on which Python's case mapping and classes agree with the library's, all of them composed.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e -įĲ-ž‐-‧‰-⁞₠-₿]*")
 
-CHUNK_MASK = np.uint64(0x3F)
-CHUNK_WINDOW = 16
+CHUNK_MASK = np.uint64(0x1FF)
+CHUNK_WINDOW, CHUNK_LEAST = 16, 48
 MEMO_MB = 160
+_SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
 class Memo:
-    """A dictionary bounded in bytes, in two halves: when the young half is full it becomes the old one, whose keys come back as they are used."""
+    """A dictionary bounded in bytes, in two halves: when the young half is full it becomes the old one, whose keys come back as they are used.
+
+    An entry counts as ENTRY bytes and WEIGHT more for each of its key's."""
+
+    ENTRY, WEIGHT = 160, 4
 
     def __init__(self, limit: int) -> None:
         self.limit, self.held, self.young, self.old = limit // 2, 0, {}, {}
 
-    def put(self, key: str, value: tuple) -> None:
-        size = 300 + 2 * len(key) + sum(len(x) for x in value)
+    def put(self, key: str | bytes, value: str | tuple) -> None:
+        size = self.ENTRY + self.WEIGHT * len(key)
         if self.held + size > self.limit:
             self.held, self.old, self.young = 0, self.young, {}
         self.held += size
@@ -62,7 +73,7 @@ class Memo:
     def clear(self) -> None:
         self.held, self.young, self.old = 0, {}, {}
 
-    def get(self, key: str) -> tuple | None:
+    def get(self, key: str | bytes) -> str | tuple | None:
         known = self.young.get(key)
         if known is None and (known := self.old.get(key)) is not None:
             self.put(key, known)
@@ -70,7 +81,7 @@ class Memo:
 
 
 def cuts(data: bytes) -> list[int]:
-    """Byte offsets after which a chunk ends: where the hash of the last CHUNK_WINDOW bytes meets the mask, moved on to a character's start."""
+    """Byte offsets after which a chunk ends: where the hash of the last CHUNK_WINDOW bytes meets the mask, between characters and CHUNK_LEAST bytes after the cut before."""
     n = len(data)
     if n <= CHUNK_WINDOW:
         return []
@@ -83,12 +94,22 @@ def cuts(data: bytes) -> list[int]:
         span *= 2
     at = np.flatnonzero(((h >> np.uint64(40)) & CHUNK_MASK) == 0) + 1
     at = at[(at >= CHUNK_WINDOW) & (at < n)]
-    at = at[(a[at] & 0xC0) != 0x80]
-    return at.tolist()
+    out, last = [], 0
+    for x in at[(a[at] & 0xC0) != 0x80].tolist():
+        if x - last >= CHUNK_LEAST:
+            out.append(x)
+            last = x
+    return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next letter from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)).difference(plain)))}
 
 
 class Coder:
-    """Encodes and decodes with one vocabulary file."""
+    """Encodes and decodes with one vocabulary file whose pieces never hold white space and whose tokens decode joined by spaces."""
 
     def __init__(self, path: str, memo_mb: int = MEMO_MB) -> None:
         from tokenizers import Tokenizer
@@ -96,77 +117,118 @@ class Coder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.tokens = {i: t for t, i in self.lib.get_vocab(with_added_tokens=True).items()}
-        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
-        self.ends = {i for i, t in self.tokens.items() if suffix and t.endswith(suffix)}
-        self.joins_by_space = self.lib.decoder is None
-        self.chunks, self.words = Memo(memo_mb << 18), Memo(memo_mb * 3 << 18)
+        self.model = self.lib.model
+        if not getattr(self.model, "end_of_word_suffix", None) or self.lib.decoder is not None:
+            raise ValueError("the vocabulary must mark word ends and have no decoder of its own")
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()) or r"\Z\A.")
+        tokens = self.lib.get_vocab(with_added_tokens=True)
+        self.written = {i: str(i) for i in tokens.values()}
+        self.tokens = {str(i): t for t, i in tokens.items()}
+        self.letters = _byte_letters()
+        self.chunks, self.joins, self.runs = (Memo(memo_mb * part << 16) for part in (2, 1, 13))
+        self.did: Counter = Counter()
 
     def forget(self) -> None:
         """Give the memos' memory back; a worker outlives its task and may serve other work next."""
-        self.chunks.clear()
-        self.words.clear()
-
-    def _word(self, ids: list[int]) -> tuple[str, str]:
-        decoded = " ".join([self.tokens[i] for i in ids]) if self.joins_by_space else self.lib.decode(ids, skip_special_tokens=False)
-        return " ".join(map(str, ids)), decoded
-
-    def _encode_words(self, words: list[str]) -> list[tuple[str, str]]:
-        """Each word's ids and decoded text. Words go to the library as one text and come apart at the tokens that end a word; should their number differ, one by one."""
-        out, own = [], []
-        for i in self.lib.encode(" ".join(words), add_special_tokens=False).ids:
-            own.append(i)
-            if i in self.ends:
-                out.append(self._word(own))
-                own = []
-        if own or len(out) != len(words):
-            return [self._word(e.ids) for e in self.lib.encode_batch(words, add_special_tokens=False)]
-        return out
-
-    def _library(self, text: str) -> tuple[str, int, str]:
-        e = self.lib.encode(text, add_special_tokens=False)
-        return " ".join(map(str, e.ids)), len(e.ids), self.lib.decode(e.ids, skip_special_tokens=False)
-
-    def _encode_chunks(self, texts: list[str]) -> dict[str, tuple[str, str]]:
-        """Ids and decoded text of chunks that the memo lacks; their new words go to the library in one call."""
-        pieces = {t: PIECES.findall(t.lower()) for t in texts}
-        young, fresh = self.words.young, {}
-        new = []
-        for w in set().union(*pieces.values()):
-            if w in young:
-                continue
-            if (known := self.words.get(w)) is None:
-                new.append(w)
+        for memo in (self.chunks, self.joins, self.runs):
+            memo.clear()
+
+    def _piece(self, piece: str) -> str:
+        """A pre-tokenizer piece's ids."""
+        if (known := self.runs.get(piece)) is None:
+            found = self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+            known = " ".join([self.written[t.id] for t in found])
+            self.runs.put(piece, known)
+        return known
+
+    def _library(self, text: str) -> list[str]:
+        return [self.written[i] for i in self.lib.encode(text, add_special_tokens=False).ids]
+
+    def _run(self, run: bytes) -> str:
+        """Ids of what stands between white space."""
+        if (known := self.runs.old.get(run)) is None:
+            text = run.decode()
+            if PLAIN.fullmatch(text) and not self.special.search(text):
+                pieces = PIECES.findall(text.lower())
+                if len(pieces) != 1 or pieces[0] != text:
+                    known = " ".join([self._piece(w) for w in pieces])
+                else:
+                    found = self.model.tokenize(text if text.isascii() else run.decode("latin-1").translate(self.letters))
+                    known = " ".join([self.written[t.id] for t in found])
             else:
-                fresh[w] = known
-        for w, made in zip(new, self._encode_words(new), strict=True):
-            fresh[w] = made
-            self.words.put(w, made)
-        out = {}
-        for t, ws in pieces.items():
-            found = [young.get(w) or fresh[w] for w in ws]
-            out[t] = (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
-            self.chunks.put(t, out[t])
-        return out
+                known = " ".join(self._library(text))
+        self.runs.put(run, known)
+        return known
+
+    def _chunk(self, chunk: bytes) -> tuple[str, ...]:
+        """Ids of each run of a chunk by itself."""
+        known = self.chunks.get(chunk)
+        if known is None:
+            young, other = self.runs.young.get, self._run
+            known = tuple([young(r) or other(r) for r in chunk.split()])
+            self.chunks.put(chunk, known)
+            self.did["chunks"] += 1
+        else:
+            self.did["reused"] += 1
+        return known
+
+    def _mend(self, runs: list[bytes], values: list[str | None], joins: list[tuple[int, int]]) -> None:
+        """Ids of the runs at joins, first to last, from windows that agree with the chunks at both ends; the first run takes those of all."""
+        reach = 0
+        while joins:
+            reach += 1
+            windows, new = {}, {}
+            for first, last in joins:
+                low, high = max(0, first - reach), min(len(runs), last + 1 + reach)
+                key = (first - low).to_bytes(4, "big") + (high - 1 - last).to_bytes(4, "big") + b" ".join(runs[low:high])
+                windows[first, last] = (low, high, key)
+                if self.joins.get(key) is None:
+                    new[key[8:]] = None
+            if new:
+                new = dict(zip(new, self.lib.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True))
+            found = {}
+            for (first, last), (low, high, key) in windows.items():
+                if (known := self.joins.get(key)) is None:
+                    ids = [self.written[i] for i in new[key[8:]].ids] if key[8:] in new else self._library(key[8:].decode())
+                    before, after = values[low:first], values[last + 1 : high]
+                    if None not in before and None not in after:
+                        before, after = " ".join(before).split(), " ".join(after).split()
+                        end = len(ids) - len(after)
+                        if len(before) <= end and ids[: len(before)] == before and ids[end:] == after:
+                            known = " ".join(ids[len(before) : end])
+                            self.joins.put(key, known)
+                    if known is None and low == 0 and high == len(runs):
+                        values[:] = [" ".join(ids), *[""] * (len(runs) - 1)]
+                        return
+                if known is not None:
+                    found[first, last] = known
+            for (first, last), ids in found.items():
+                values[first : last + 1] = [ids, *[""] * (last - first)]
+            joins = [j for j in joins if j not in found]
 
     def encode(self, text: str | None) -> tuple[str, int, str]:
         """Ids in decimal joined by one space, their number, and the decoded text."""
         if not text:
             return "", 0, ""
-        if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
-            return self._library(text)
-        data, chunks, start = text.encode(), [], 0
+        data = text.encode()
+        runs, values, alone, start = data.split(), [], {}, 0
         for end in [*cuts(data), len(data)]:
-            if end < len(data) and data[end - 1] not in b" \n\r\t":
-                continue  # the join doesn't agree by itself: encode with what follows
-            chunks.append(data[start:end].decode())
+            own = self._chunk(data[start:end])
+            if start and data[start - 1] not in _SPACE and data[start] not in _SPACE:
+                at = len(values) - 1
+                alone.setdefault(at, [values[at]]).append(own[0])
+                own = own[1:]
+            values.extend(own)
             start = end
-        known = {t: self.chunks.get(t) for t in chunks}
-        known |= self._encode_chunks([t for t, k in known.items() if k is None])
-        parts = [known[t] for t in chunks if known[t][0]]
-        joined = " ".join([p[0] for p in parts])
-        return joined, joined.count(" ") + 1 if joined else 0, " ".join([p[1] for p in parts])
+        joins: list[tuple[int, int]] = []
+        for at in alone:
+            values[at] = None
+            joins.append((joins.pop()[0], at) if joins and joins[-1][1] == at - 1 else (at, at))
+        self._mend(runs, values, joins)
+        for first, last in joins:
+            self.did["agreed" if " ".join([x for at in range(first, last + 1) for x in alone[at]]).split() == values[first].split() else "repaired"] += 1
+        ids = " ".join(values).split()
+        return " ".join(ids), len(ids), " ".join([self.tokens[i] for i in ids])
 
 
 @lru_cache(maxsize=2)

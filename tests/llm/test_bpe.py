@@ -15,7 +15,7 @@ def texts():
     plain = ["the", "Étude", "it's", "we'LL", "12345", "ñandú", " ", " ", " ", "\n", "!!", "ß", "x" * 40, "²½"]
     made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(200)]
     made += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 900))) for _ in range(60)]
-    return made + ["", None, " ", "a" * 20000, "<|startoftext|>", "'s" * 50, *[chr(i) + "a" + chr(i) + "B 'S" for i in range(1, 0x2100)]]
+    return made + ["", None, " ", "a" * 20000, "ab" * 9000 + " " + "é" * 3000, "for " * 9000, "the <|endoftext|>x of " * 300, "<|startoftext|>", "'s" * 50, *[chr(i) + "a" + chr(i) + "B 'S" for i in range(1, 0x2100)]]
 
 
 def test_ids_and_text_equal_the_library(spark):
@@ -32,18 +32,58 @@ def test_ids_and_text_equal_the_library(spark):
     assert (len(one.ids), sha(one.decoded)) == (want[1][0], want[1][2])
 
 
-def test_chunks_are_shared_and_memo_is_bounded():
-    passage = " ".join(f"word{i % 977} of" for i in range(2000))
+def test_chunks_are_reused_and_joins_repaired():
+    """Cuts fall anywhere, also inside words; every one of them is a join that is encoded again."""
+    lib, rng = Tokenizer.from_file(PATH), random.Random(4)
+    words = ["".join(rng.choice("abcdefgilmnorstuéß'!9") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    passage = " ".join(rng.choice(words) for _ in range(6000))
     c = bpe.Coder(PATH)
-    c.encode("some lead " + passage)
-    before = len(c.chunks.young)
-    c.encode("another lead of other words " + passage)
-    assert before > 20 and len(c.chunks.young) - before < 6
+    texts = ["lead " + passage, "another lead of other words " + passage, passage[:20000] + "#" + passage[20000:]]
+    for t in texts:
+        ids, n, decoded = c.encode(t)
+        own = lib.encode(t, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, own)) and n == len(own) and decoded == lib.decode(own, skip_special_tokens=False)
+    cuts = sum(len(bpe.cuts(t.encode())) for t in texts)
+    assert c.did["chunks"] + c.did["reused"] == cuts + 3
+    assert c.did["reused"] > 0.6 * cuts and c.did["repaired"] > 0.3 * cuts
+    assert any(b not in b" " and a not in b" " for t in texts for x in bpe.cuts(t.encode()) for a, b in [(t.encode()[x - 1 : x], t.encode()[x : x + 1])])
+
+
+def test_windows_grow_until_both_ends_agree():
+    """Where the chunks' ids don't agree with a window, it takes in more; at the last it is the whole text."""
+    c = bpe.Coder(PATH)
+    runs = b"one two three four five six seven".split()
+    right = [c._run(r) for r in runs]
+    whole = " ".join(right)
+    for wrong, joins in (([], [(3, 3)]), ([], [(1, 2), (5, 5)]), ([2], [(3, 3)]), ([0, 6], [(3, 3)]), ([2, 4], [(3, 3), (5, 5)])):
+        c.forget()
+        values = list(right)
+        for i in wrong:
+            values[i] = "1 2 3"
+        for first, last in joins:
+            values[first : last + 1] = [None] * (last + 1 - first)
+        c._mend(runs, values, joins)
+        if wrong in ([2], [2, 4]):
+            assert " ".join(values).split() == whole.split()
+        else:
+            assert [" ".join(values[a : b + 1]).split() for a, b in joins] == [" ".join(right[a : b + 1]).split() for a, b in joins]
+
+
+def test_cuts_follow_content():
+    rng = random.Random(3)
+    body = bytes(rng.randrange(97, 123) for _ in range(60_000))
+    a, b = bpe.cuts(body), bpe.cuts(b"x" * 777 + body)
+    assert len(a) > 80 and len({x + 777 for x in a} & set(b)) > 0.95 * len(a)
+    text = ("é" * 50 + "ab") * 500
+    assert all(text.encode()[x : x + 1] not in (bytes([c]) for c in range(0x80, 0xC0)) for x in bpe.cuts(text.encode()))
+
+
+def test_memo_is_bounded():
     small = bpe.Memo(2000)
     for i in range(100):
-        small.put(str(i), ("x" * 50,))
+        small.put(str(i), "x" * 50)
         assert small.get(str(i))
-    assert small.held <= 1000 and len(small.young) + len(small.old) <= 6
+    assert small.held <= 1000 and len(small.young) + len(small.old) <= 14
 
 
 def test_empty_and_nulls(spark):
