@@ -49,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digests(_table(spark, sf_dir, "documents"))
+    return suffix.digests(_table(spark, sf_dir, "documents"), stored=True)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ a run, and the bytes they span are its context.
 1. Each task hashes its documents with numpy, and settles equal contexts of its
    own at once: all but the earliest are removed.
 2. Anchors meet by gram in buckets, as packed arrays. Contexts that are equal
-   as a whole are settled by their hashes (128 bits of gram and context). Only
+   as a whole are settled by two independent 64-bit hashes of all their bytes. Only
    the first of each kind goes on, and only if its gram has other contexts.
 3. Those contexts' bytes are fetched, and the suffixes that start at the anchors
    are sorted, and likewise the reversed prefixes before them: a multikey sort
@@ -21,19 +21,25 @@ a run, and the bytes they span are its context.
 
 Grams of very many contexts aren't gathered in one task. A sample of
 ``SAMPLE_DOCS`` documents names those that at least ``SAMPLE_CONTEXTS`` different
-contexts share in it; their windows are hashed one by one, each task keeps the
+contexts share in it; their windows are hashed one by one (two hashes of all 100
+bytes), each task keeps the
 earliest of equal ones, and the rest spread by window. What the sample misses
 and a bucket then finds (over ``HOT_CONTEXTS``) goes the same way one step later. The
 sample steers load only; results don't depend on it.
 
-Memory: tasks hold a few MB of text or one bucket's arrays; the number of
-buckets follows the bytes of the input. No list of documents, grams or windows
-reaches the driver.
+Memory: hashing takes some 90 bytes for each byte of a batch, so texts go in
+stretches of ``STRETCH_BYTES``, which overlap by a window's length, and anchors
+don't depend on how texts are parted or put together. Beyond that tasks hold one
+part's documents or one bucket's arrays; the number of buckets follows the bytes of
+the input. No list of documents, grams or windows reaches the driver.
 
 Edge cases: documents count in the order of id, rows of one id in the order of
 the table; a null id is the largest, a null text is empty. Texts under LENGTH
-bytes lose nothing. Only the id and text columns are read. The table must give
-its rows in the same order when it is read again, as stored tables do.
+bytes lose nothing; a text of any length is taken whole. Of equal strings the first
+stays, so ties can't arise. Only the id and text columns are read, whatever the
+others are called; an empty table gives an empty one. Rows are told apart by their
+place in the table, so it must give them in the same order when it is read
+again: stored tables do, anything else is stored first (``stored=False``).
 """
 
 from __future__ import annotations
@@ -47,17 +53,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filigrane.llm.state import cut
+
 LENGTH, GRAM = 100, 32
 SHALLOW = 48
 HOT_CONTEXTS = 50_000
 SAMPLE_DOCS, SAMPLE_CONTEXTS = 4_000, 24
-BATCH_BYTES = 2 << 20
+BATCH_BYTES, STRETCH_BYTES = 2 << 20, 1 << 20
+_PLACE_BITS = 22  # of a place in a batch
 BUCKET_BYTES, PART_BYTES, LEAST_TASKS = 12 << 20, 16 << 20, 8
 NO_ID = (1 << 63) - 1
 _SPAN = LENGTH - GRAM + 1  # grams in a window
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BACK = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F)
+_TABLES = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _ROWS = "to int, kind int, data binary"
 
 
@@ -68,16 +76,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any stretch of a buffer, equal for equal bytes wherever they stand."""
+    """Hashes of any stretch of a buffer, equal for equal bytes wherever they stand. The two kinds are independent."""
 
-    def __init__(self, a: np.ndarray) -> None:
+    def __init__(self, a: np.ndarray, kind: int = 0) -> None:
         n = len(a)
-        power = np.full(n + 1, _BASE, np.uint64)
+        power = np.full(n + 1, _BASES[kind], np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[a] * power[:n], out=self.sums[1:])
-        power[1:] = np.uint64(_BACK)
+        np.cumsum(_TABLES[kind][a] * power[:n], out=self.sums[1:])
+        power[1:] = np.uint64(pow(_BASES[kind], -1, 1 << 64))
         power[0] = 1
         self.back = np.multiply.accumulate(power, out=power)
 
@@ -95,9 +103,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def window_hashes(hashes: Hashes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window: two hashes."""
-    return hashes(start, start + LENGTH), _mix(hashes(start, start + LENGTH // 2) ^ np.uint64(_BASE))
+def window_hashes(a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window: two hashes of all its bytes."""
+    return tuple(Hashes(a, kind)(start, start + LENGTH) for kind in (0, 1))
 
 
 def _stretches(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +115,18 @@ def _stretches(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which], which
 
 
-def anchors(a: np.ndarray, begin: np.ndarray, size: np.ndarray, hashes: Hashes | None = None) -> dict[str, np.ndarray]:
-    """Anchors of all windows of the documents laid end to end in a: doc (index), at, first and last window start (in a), gram and context hashes."""
+def anchors(a: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """Anchors of all windows of the texts laid end to end in a: doc (index), at, first and last window start (in a), gram and two context hashes.
+
+    A window's anchor is the gram with the least hash, cut to the bits over its place in the batch, and of equal ones the leftmost."""
     n = len(a)
     if n < LENGTH:
-        return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("at", np.int64), ("first", np.int64), ("last", np.int64), ("gram", np.uint64), ("context", np.uint64))}
-    hashes = hashes or Hashes(a)
+        types = (("doc", np.int64), ("at", np.int64), ("first", np.int64), ("last", np.int64), ("gram", np.uint64), ("context", np.uint64), ("other", np.uint64))
+        return {k: np.zeros(0, t) for k, t in types}
+    hashes = Hashes(a)
     where = np.arange(n - GRAM + 1)
     gram = hashes(where, where + GRAM)
-    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
     least = _sliding_min((gram & ~low) | where.astype(np.uint64), _SPAN)
     at = (least & low).astype(np.int64)
     doc = np.repeat(np.arange(len(begin)), size)[: len(at)]
@@ -125,8 +136,10 @@ def anchors(a: np.ndarray, begin: np.ndarray, size: np.ndarray, hashes: Hashes |
     first, last = start[new], start[np.concatenate((new[1:] - 1, [len(at) - 1]))] if len(at) else start
     at, doc = at[new], doc[new]
     shape = ((at - first) * LENGTH + (last - first)).astype(np.uint64)
-    context = _mix(hashes(first, last + LENGTH) + shape * np.uint64(_BASE))
-    return {"doc": doc, "at": at, "first": first, "last": last, "gram": gram[at], "context": context}
+    gram = gram[at]
+    del where, least, start
+    context, other = (_mix(h(first, last + LENGTH) + shape * np.uint64(base)) for h, base in ((hashes, _BASES[0]), (Hashes(a, 1), _BASES[1])))
+    return {"doc": doc, "at": at, "first": first, "last": last, "gram": gram, "context": context, "other": other}
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -148,7 +161,7 @@ def _gathered(blobs: list[bytes], types: tuple) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
 
 
-_ANCHOR = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8)  # gram, context, id, row, at, at - first, last - first
+_ANCHOR = (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8)  # gram, two hashes of the context, id, row, at, at - first, last - first
 _EDGE = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.bool_)  # gram, id, row, at, before, run, hot
 _RANGE = (np.int64, np.int64, np.int32, np.int32)  # id, row, start, end
 _CONTEXT = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, f"V{2 * LENGTH}")
@@ -205,6 +218,25 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield np.array(ids, np.int64), np.array(rows, np.int64), texts
 
 
+def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, rows, offsets and bytes of stretches of the documents, in groups of less than 1 << _PLACE_BITS bytes.
+
+    Stretches of one text overlap by all but one byte of a window, so each window is in one of them."""
+    ids, rows, offsets, parts, held = [], [], [], [], 0
+    for own_ids, own_rows, texts in _batches(batches):
+        for i, r, t in zip(own_ids, own_rows, texts, strict=True):
+            for at in range(0, max(1, len(t) - LENGTH + 1), STRETCH_BYTES):
+                part = t[at : at + STRETCH_BYTES + LENGTH - 1]
+                if held + len(part) > BATCH_BYTES and held:
+                    yield np.array(ids, np.int64), np.array(rows, np.int64), np.array(offsets, np.int64), parts
+                    ids, rows, offsets, parts, held = [], [], [], [], 0
+                for x, v in ((ids, i), (rows, r), (offsets, at), (parts, part)):
+                    x.append(v)
+                held += len(part)
+    if parts:
+        yield np.array(ids, np.int64), np.array(rows, np.int64), np.array(offsets, np.int64), parts
+
+
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts end to end, and where each begins and how long it is."""
     size = np.array([len(t) for t in texts])
@@ -213,26 +245,26 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _find_anchors(buckets: int, parts: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows, texts in _batches(batches):
+        for ids, rows, offsets, texts in _stretched(batches):
             a, begin, size = _laid_out(texts)
-            hashes = Hashes(a)
-            x = anchors(a, begin, size, hashes)
+            begin_of = begin - offsets  # where the document would begin
+            x = anchors(a, begin, size)
             found: list = []
             many = np.isin(x["gram"], hot)
             if many.any():
                 start, which = _stretches(x["first"][many], x["last"][many])
                 d = x["doc"][many][which]
-                found += _spread(buckets, parts, *window_hashes(hashes, start), ids[d], rows[d], (start - begin[d]).astype(np.int32))
+                found += _spread(buckets, parts, *window_hashes(a, start), ids[d], rows[d], (start - begin_of[d]).astype(np.int32))
                 x = {k: v[~many] for k, v in x.items()}
-            doc, base = x["doc"], begin[x["doc"]]
-            order = np.lexsort((x["at"], rows[doc], ids[doc], x["context"], x["gram"]))
-            gram, context = x["gram"][order], x["context"][order]
-            again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]))) if len(order) else np.zeros(0, bool)
+            doc, base = x["doc"], begin_of[x["doc"]]
+            order = np.lexsort((x["at"] - base, rows[doc], ids[doc], x["other"], x["context"], x["gram"]))
+            gram, context, other = x["gram"][order], x["context"][order], x["other"][order]
+            again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (other[1:] == other[:-1]))) if len(order) else np.zeros(0, bool)
             gone, kept = order[again], np.sort(order[~again])
             found += _ranges(buckets, parts, ids[doc[gone]], rows[doc[gone]], (x["first"] - base)[gone], (x["last"] - base)[gone] + LENGTH)
             at, d = (x["at"] - base)[kept].astype(np.int32), doc[kept]
             to = (x["gram"][kept] >> np.uint64(8)) % np.uint64(buckets)
-            found += _dealt(ANCHORS, to.astype(np.int64), x["gram"][kept], x["context"][kept], ids[d], rows[d], at, (x["at"] - x["first"])[kept].astype(np.uint8), (x["last"] - x["first"])[kept].astype(np.uint8))
+            found += _dealt(ANCHORS, to.astype(np.int64), x["gram"][kept], x["context"][kept], x["other"][kept], ids[d], rows[d], at, (x["at"] - x["first"])[kept].astype(np.uint8), (x["last"] - x["first"])[kept].astype(np.uint8))
             if found:
                 yield _rows(found)
 
@@ -255,7 +287,7 @@ def _spread(targets: int, parts: int, h: np.ndarray, half: np.ndarray, ids: np.n
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, context) of every anchor, each pair once a batch."""
-    for _, _, texts in _batches(batches):
+    for *_, texts in _stretched(batches):
         x = anchors(*_laid_out(texts))
         pairs = np.unique(np.stack([x["gram"], x["context"]], 1), axis=0).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["gram", "context"])
@@ -275,13 +307,13 @@ def _settle_contexts(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         found = [*_ranges(parts, parts, *_of(table, RANGES, _RANGE)), *_spread(parts, parts, *_of(table, WINDOWS, _WINDOW))]
-        gram, context, ids, row, at, before, span = _of(table, ANCHORS, _ANCHOR)
+        gram, context, other, ids, row, at, before, span = _of(table, ANCHORS, _ANCHOR)
         if not len(gram):
             return pa.Table.from_batches([_rows(found)])
-        order = np.lexsort((at, row, ids, context, gram))
-        gram, context, ids, row, at, before, span = (x[order] for x in (gram, context, ids, row, at, before, span))
+        order = np.lexsort((at, row, ids, other, context, gram))
+        gram, context, other, ids, row, at, before, span = (x[order] for x in (gram, context, other, ids, row, at, before, span))
         same_gram = np.concatenate(([False], gram[1:] == gram[:-1]))
-        again = same_gram & np.concatenate(([False], context[1:] == context[:-1]))
+        again = same_gram & np.concatenate(([False], (context[1:] == context[:-1]) & (other[1:] == other[:-1])))
         first = at - before
         found += _ranges(parts, parts, ids[again], row[again], first[again], first[again] + span[again] + LENGTH)
         heads = np.flatnonzero(~again)
@@ -341,9 +373,9 @@ def _fetch_contexts(buckets: int, parts: int):
             first, end = (at[s:e] - before[s:e]).astype(np.int64), at[s:e].astype(np.int64) - before[s:e] + span[s:e] + LENGTH
             for k, (x, y) in enumerate(zip(first.tolist(), end.tolist(), strict=True), s):
                 text[k, : y - x] = a[x:y]
-            if hot[s:e].any():
-                starts, _ = _stretches(first[hot[s:e]], end[hot[s:e]] - LENGTH)
-                seen.append([*window_hashes(Hashes(a), starts), np.full(len(starts), ids[s]), np.full(len(starts), r), starts.astype(np.int32)])
+            for k in np.flatnonzero(hot[s:e]).tolist():
+                starts = np.arange(first[k], end[k] - LENGTH + 1)
+                seen.append([*window_hashes(a[first[k] : end[k]], starts - first[k]), np.full(len(starts), ids[s]), np.full(len(starts), r), starts.astype(np.int32)])
         cold = ~hot
         to = ((gram >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         found += _dealt(CONTEXTS, to[cold], gram[cold], ids[cold], row[cold], at[cold], before[cold], span[cold], text[cold].reshape(-1).view(f"V{2 * LENGTH}") if cold.any() else np.zeros(0, f"V{2 * LENGTH}"))
@@ -512,41 +544,46 @@ def _merged(targets: int, parts: int, ids: np.ndarray, row: np.ndarray, start: n
     return list(_ranges(targets, parts, ids[head], row[head], start[head], start[tail] + LENGTH))
 
 
-def _remove(docs: pa.Table, ranges: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Each document's id, bytes and mask of what goes."""
+def _remove(docs: pa.Table, ranges: pa.Table) -> Iterator[tuple[int | None, bytes, list[tuple[int, int]]]]:
+    """Each document's id, bytes and the maximal runs of them that go."""
     _, row, start, end = _of(ranges, RANGES, _RANGE)
-    order = np.argsort(row, kind="stable")
+    order = np.lexsort((start, row))
     row, start, end = row[order], start[order], end[order]
     places = _by_row(row)
     for i, r, text in _documents(docs):
-        change = np.zeros(len(text) + 1, np.int64)
-        if r in places:
-            s, e = places[r]
-            np.add.at(change, start[s:e], 1)
-            np.add.at(change, end[s:e], -1)
-        yield i, text, np.cumsum(change[:-1]) > 0
+        s, e = places.get(r, (0, 0))
+        runs: list[tuple[int, int]] = []
+        for x, y in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True):
+            if runs and x <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(y, runs[-1][1]))
+            else:
+                runs.append((x, y))
+        yield None if i == NO_ID else i, text, runs
+
+
+def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for run in runs for x in run), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
 def _finish(docs: pa.Table, ranges: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], [], [], []]
-    for i, text, gone in _remove(docs, ranges):
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-        for k, v in enumerate((None if i == NO_ID else i, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())):
-            out[k].append(v)
+    rows = [(i, len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(t, runs)).hexdigest()) for i, t, runs in _remove(docs, ranges)]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _finish_text(docs: pa.Table, ranges: pa.Table) -> pa.Table:
-    found = [(None if i == NO_ID else i, np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "replace")) for i, t, gone in _remove(docs, ranges)]
+    found = [(i, _kept(t, runs).decode("utf-8", "replace")) for i, t, runs in _remove(docs, ranges)]
     return pa.Table.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["id", "text"])
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
+def _plan(docs: DataFrame, id_col: str, text_col: str, finish, schema: str, stored: bool) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not stored:
+        docs = cut(docs)
+    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets, parts = (max(LEAST_TASKS, -(-total // size)) for size in (BUCKET_BYTES, PART_BYTES))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    d = docs.select("id", F.monotonically_increasing_id().alias("row"), "text")
     first = d.mapInArrow(_find_anchors(buckets, parts, hot_grams(d, rows)), _ROWS)
     packed = d.mapInArrow(_pack_documents(parts), _ROWS).groupBy("to")
     settled = first.groupBy("to").applyInArrow(_settle_contexts(parts), _ROWS)
@@ -555,11 +592,12 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> D
     return packed.cogroup(ranges.groupBy("to")).applyInArrow(finish, schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id_col, n_bytes, n_removed, n_spans and kept_sha256."""
-    return _plan(docs, id_col, text_col, _finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row a document: id_col, n_bytes, n_removed, n_spans and kept_sha256. stored: docs is a stored table as it is."""
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _plan(docs, id_col, text_col, _finish, schema, stored).withColumnRenamed("id", id_col)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """One row a document: id_col and what is left of its text; characters cut in part become U+FFFD."""
-    return _plan(docs, id_col, text_col, _finish_text, "id long, text string").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    return _plan(docs, id_col, text_col, _finish_text, "id long, text string", stored).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)

@@ -64,6 +64,7 @@ def test_settling_in_one_process(monkeypatch):
         monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
         batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "row", "text"])
         table = lambda bs: pa.Table.from_batches(list(bs), pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
+        monkeypatch.setattr(suffix, "STRETCH_BYTES", max(150, size // 9))
         grams = suffix.anchors(*suffix._laid_out([(r[1] or "").encode() for r in rows]))["gram"]
         first = table(suffix._find_anchors(1, 1, np.sort(grams[:: 1 if size == 10**7 else 2]) if spread else grams[:0])([batch]))
         settled = suffix._settle_contexts(1)(first)
@@ -101,3 +102,62 @@ def test_short_and_empty(spark):
     assert [r.n_removed for r in suffix.digests(df).collect()] == [0, 0]
     assert suffix.digests(df.limit(0)).count() == 0
     assert sorted(r.text for r in suffix.remove_repeats(df).collect()) == ["short", "short"]
+
+
+def test_whole_windows_are_hashed():
+    """Windows that differ in any one byte differ in both hashes."""
+    rng = random.Random(2)
+    window = bytes(rng.randrange(256) for _ in range(100))
+    made = [window] + [window[:k] + bytes([window[k] ^ 1]) + window[k + 1 :] for k in range(100)]
+    a = np.frombuffer(b"".join(made), np.uint8)
+    for h in suffix.window_hashes(a, np.arange(101) * 100):
+        assert len(set(h.tolist())) == 101
+
+
+def test_anchors_are_the_same_in_any_batch():
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(97, 100) for _ in range(rng.randint(90, 700))) for _ in range(60)]
+
+    def found(groups):
+        out = set()
+        for g in groups:
+            a, begin, size = suffix._laid_out(g)
+            x = suffix.anchors(a, begin, size)
+            out |= {(g[d], int(at - begin[d]), int(f - begin[d]), int(z - begin[d])) for d, at, f, z in zip(x["doc"], x["at"], x["first"], x["last"], strict=True)}
+        return out
+
+    assert found([texts]) == found([[t] for t in texts]) == found([texts[:7], texts[7:40], texts[40:]])
+
+
+def test_a_long_text_is_taken_in_stretches():
+    """Memory follows the stretch, not the text, and windows over its borders count."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    body = rng.integers(97, 123, 6_000_000, dtype=np.uint8).tobytes().decode()
+    text = body + body[suffix.STRETCH_BYTES - 60 : suffix.STRETCH_BYTES + 60]
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([0], pa.int64()), pa.array([text], pa.string())], ["id", "row", "text"])
+    tracemalloc.start()
+    first = pa.Table.from_batches(list(suffix._find_anchors(1, 1, np.zeros(0, np.uint64))([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    packed = pa.Table.from_batches(list(suffix._pack_documents(1)([batch])))
+    got = suffix._finish(packed, suffix._settle_windows(1)(suffix._fetch_contexts(1, 1)(packed, suffix._settle_contexts(1)(first)))).to_pylist()
+    assert [(r["n_removed"], r["n_spans"]) for r in got] == [(120, 1)]
+
+
+def test_the_sort_decides_what_hashes_do_not(monkeypatch):
+    """Passages repeated in part, in new surroundings, have no equal contexts at their edges: there the sort removes."""
+    import pyarrow as pa
+
+    rows = made()
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["id", "row", "text"])
+    first = pa.Table.from_batches(list(suffix._find_anchors(1, 1, np.zeros(0, np.uint64))([batch])))
+    settled = suffix._settle_contexts(1)(first)
+    packed = pa.Table.from_batches(list(suffix._pack_documents(1)([batch])))
+    removed = lambda table: sum(sum(b - a for a, b in runs) for _, _, runs in suffix._remove(packed, table))
+    by_hash = removed(settled)
+    whole = removed(suffix._settle_windows(1)(suffix._fetch_contexts(1, 1)(packed, settled)))
+    assert by_hash < whole and whole == sum(r[2] for r in brute(rows))
