@@ -7,31 +7,41 @@ Search: a fingerprint is embedded as the bit counts of its 32 two-bit segments,
 each 0 to 2. The Manhattan distance of two embeddings never exceeds the Hamming
 distance of the fingerprints. The embedding is held as a thermometer code in
 one long (count 0: 00, 1: 01, 2: 11), so Manhattan distance is one xor and one
-bit count. The segments form 6 blocks; within distance 3 at least 3 blocks have
-equal counts, so each of the 20 choices of 3 blocks is a grid whose cells are
+bit count. The segments form b blocks; within distance 3 at least b - 3 blocks have
+equal counts, so each choice of b - 3 blocks is a grid whose cells are
 joined by equality, and a pair within range meets in at least one cell. Within
-a cell the Manhattan bound is tested first, then the exact distance.
+a cell the Manhattan bound is tested first, then the exact distance. More blocks
+make more grids, of finer cells; b follows the counted number of distinct
+fingerprints, so that chance meetings don't grow with its square. Every b finds the
+same links.
 
 Large cells: nobody lists a cell's pairs. Each cell first links its members to
 one pivot, which joins most of a group of near copies in linear work; cells
 whose members then share a component are done. In the rest, only members
 outside the cell's largest component are compared, and only with members of
-other components. A component's pairs are merged to one row a pair of
-components. No link between different components is left out, so components
-are exactly those of the full link graph.
+other components; their join is salted, so that a large cell is many keys. A
+component's pairs are merged to one row a pair of components. No link between
+different components is left out, so components are exactly those of the full
+link graph.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; fewer words than a shingle make one shingle. A
-null id stays a row and is no candidate for a component's smallest id. Only the
-id and text columns are read; repeated rows give repeated results.
+null id stays a row and is no candidate for a component's smallest id. Hashes of a
+text of any length are taken in blocks of bounded size. Ties: of pivots the one
+with the least hash counts, of rows with one id and fingerprint that with the least
+hash of all its columns is kept. Only the id and text columns are read, whatever
+the others are called; repeated rows give repeated results; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,8 +53,10 @@ from filigrane.llm.state import cut
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-BLOCKS = 6
+BLOCKS = (6, 8, 12, 16)
+SEGMENT_BITS = 1.415  # -log2 of the chance that a two-bit segment has the same count in two random fingerprints
 PIVOT_ROUNDS = 2
+SALTS = 16
 _AT_ONCE = 1 << 15
 _ODD = 0x5555555555555555
 
@@ -87,7 +99,13 @@ def embedding(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def grid_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
+def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The number of blocks that makes the fewest rows of n random fingerprints: those dealt to the grids, and chance meetings in their cells."""
+    choices = [b for b in BLOCKS if b > max_bits] or [max_bits + 1]
+    return min(choices, key=lambda b: comb(b, max_bits) * n * (1 + n / 2 ** (32 * SEGMENT_BITS * (b - max_bits) / b)))
+
+
+def grid_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS[0]) -> list[int]:
     """Masks of the grids: every choice of the blocks that must agree when at most max_bits differ."""
     edges = [round(32 * i / blocks) for i in range(blocks + 1)]
     block = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -100,9 +118,9 @@ def near(a: Column, b: Column, max_bits: int) -> Column:
     return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
-def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
+def _cells(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
     """(g, cell, fp): the members of every grid cell that holds two or more."""
-    keys = F.array(*[F.struct(F.lit(i).alias("g"), embedding(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grid_masks(max_bits))])
+    keys = F.array(*[F.struct(F.lit(i).alias("g"), embedding(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grid_masks(max_bits, blocks))])
     every = fps.select("fp", F.explode(keys).alias("k")).select("k.g", "k.cell", "fp")
     shared = every.groupBy("g", "cell").agg(F.count("*").alias("n")).where("n > 1").select("g", "cell")
     return every.join(shared, ["g", "cell"], "left_semi")
@@ -118,9 +136,9 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(known)
 
 
-def link_classes(fps: DataFrame, max_bits: int = MAX_BITS, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def link_classes(fps: DataFrame, max_bits: int = MAX_BITS, pivot_rounds: int = PIVOT_ROUNDS, blocks: int | None = None) -> DataFrame:
     """fps (fp, distinct) → (node, root): each fingerprint that has a link, and the least of its component."""
-    members, labels = cut(_cells(fps, max_bits)), None
+    members, labels = cut(_cells(fps, max_bits, blocks or blocks_for(fps.count(), max_bits))), None
     for turn in range(pivot_rounds):
         pivots = members.groupBy("g", "cell").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("pivot")))["pivot"].alias("pivot"))
         links = members.join(pivots, ["g", "cell"]).where((F.col("fp") != F.col("pivot")) & near(F.col("fp"), F.col("pivot"), max_bits))
@@ -133,26 +151,47 @@ def link_classes(fps: DataFrame, max_bits: int = MAX_BITS, pivot_rounds: int = P
     sizes = members.groupBy("g", "cell", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("g", "cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     few = members.join(main, ["g", "cell"]).where("root != main").select("g", "cell", "fp", "root")
-    a, b = few.alias("a"), members.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") != F.col("b.root")) & near(F.col("a.fp"), F.col("b.fp"), max_bits))
+    a = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).alias("a")
+    b = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).alias("b")
+    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.root") != F.col("b.root")) & near(F.col("a.fp"), F.col("b.fp"), max_bits))
     links = cut(pairs.select(F.least("a.root", "b.root").alias("u"), F.greatest("a.root", "b.root").alias("v")).distinct())
     return cut(_merged(labels, links))
 
 
+def _rooted(seen: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, low, root): each fingerprint of seen (id, fp), its least id and its component, stored."""
+    least = cut(seen.groupBy("fp").agg(F.min("id").alias("low")))
+    labels = link_classes(least.select("fp"), max_bits)
+    return least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row a document: id_col, fingerprint (16 hex digits) and component_id, the smallest id that its links reach."""
     seen = cut(fingerprints(docs, id_col, text_col))
-    least = cut(seen.groupBy("fp").agg(F.min("id").alias("low")))
-    labels = link_classes(least.select("fp"), max_bits)
-    rooted = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(seen, max_bits)
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     known = rooted.join(ids, "root").select("fp", "component_id")
     return seen.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one document of each component: that of the smallest id, once. Rows without an id aren't judged and stay."""
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    """docs with one document of each component: that of the smallest id. Rows without an id aren't judged and stay.
+
+    Ids may repeat: rows of one id whose texts are in different components are different
+    documents, and one of each stays. Only their texts are read again for that."""
+    seen = cut(fingerprints(docs, id_col, text_col).where("id IS NOT NULL"))
+    rooted = _rooted(seen, max_bits).where("low IS NOT NULL")
+    keep = cut(rooted.groupBy("root").agg(F.min(F.struct("low", "fp")).alias("k")).select(F.col("k.low").alias("_keep"), F.col("k.fp").alias("_fp")))
+    many = cut(seen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_keep")).join(keep.select("_keep").distinct(), "_keep", "left_semi"))
+    single = keep.join(many, "_keep", "left_anti")
+    alone = docs.join(single, docs[id_col] == single["_keep"], "left_semi")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_keep"), F.col(text_col).alias("_text"))
+
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    again = packed.join(many, "_keep", "left_semi").withColumn("_fp", printed("_text"))
+    one = again.join(keep, ["_keep", "_fp"], "left_semi").groupBy("_keep", "_fp").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    parted = one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return alone.unionByName(parted).unionByName(docs.where(docs[id_col].isNull()))

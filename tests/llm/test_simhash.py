@@ -57,8 +57,8 @@ def test_link_classes_equal_all_pairs(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = brute_components(sorted(f % (1 << 64) for f in signed))
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for rounds in (0, 2):
-        got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.link_classes(df, pivot_rounds=rounds).collect()}
+    for rounds, blocks in ((0, 6), (2, None), (1, 8), (1, 12)):
+        got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.link_classes(df, pivot_rounds=rounds, blocks=blocks).collect()}
         groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in set(m.values())}
         assert {g for g in groups(want) if len(g) > 1} == groups(got)
 
@@ -74,3 +74,18 @@ def test_components_and_deduplicate(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5] + ([] if bits <= 3 else [9])
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**5, 2 * 10**7, 10**8, 10**11)] == [6, 6, 8, 8, 16]
+    assert all(simhash.blocks_for(10**6, bits) > bits for bits in (0, 3, 20))
+
+
+def test_repeated_ids_with_different_texts_all_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(50))
+    rows = [(5, words(1), 1.0), (5, words(2), 2.0), (6, words(3), 3.0), (7, words(2), 4.0), (5, words(1), 1.0), (5, words(1), 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep double")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert got == sorted([(5, words(1)), (5, words(2)), (6, words(3))])
