@@ -62,6 +62,7 @@ PREDICT_AT = 0.7
 LOW, HIGH, BIN = -20.0, 60.0, 0.25  # of the evidence, for the curve
 FLUSH = 200_000  # terms that a task holds before it hands on their sums
 WORD = re.compile(r"[^\W_]+")
+_SPACED = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))  # WORD over ASCII, as a table for translate
 
 
 @dataclass
@@ -88,15 +89,40 @@ def terms_of(word: str) -> Iterator[str]:
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def weights(counts: Counter) -> dict[str, float]:
-    """1 + ln of the occurrences of each term, from the words' occurrences."""
-    n: Counter = Counter()
-    for w, k in counts.items():
-        for t in terms_of(w):
-            n[t] += k
+    low = (text or "").lower()
+    return low.translate(_SPACED).split() if low.isascii() else WORD.findall(low)
+
+
+class Terms:
+    """Some terms, by kind and length of their first letters, so that a text's words are matched without making all their terms."""
+
+    def __init__(self, terms: Iterable[str]) -> None:
+        self.words = frozenset(t for t in terms if not t.startswith("^"))
+        firsts = [t[1:] for t in terms if t.startswith("^")]
+        self.firsts = [(k, frozenset(f for f in firsts if len(f) == k)) for k in PREFIXES]
+
+    def occurrences(self, counts: Counter) -> dict[str, int]:
+        """How often each of the terms occurs, from the words' occurrences."""
+        out = {w: counts[w] for w in counts.keys() & self.words}
+        for w, n in counts.items():
+            size = len(w)
+            for k, firsts in self.firsts:
+                if size <= k:
+                    break
+                if (f := w[:k]) in firsts:
+                    out["^" + f] = out.get("^" + f, 0) + n
+        return out
+
+
+def weights(counts: Counter, terms: Terms | None = None) -> dict[str, float]:
+    """1 + ln of the occurrences of each term, or of some, from the words' occurrences."""
+    if terms is not None:
+        n = terms.occurrences(counts)
+    else:
+        n = Counter()
+        for w, k in counts.items():
+            for t in terms_of(w):
+                n[t] += k
     return {t: 1 + math.log(k) for t, k in n.items()}
 
 
@@ -105,7 +131,7 @@ def _weight(counts: Counter) -> float:
     return len(counts) + math.fsum(map(math.log, counts.values()))
 
 
-def _sums(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+def _sums(rows: DataFrame, only: Terms | None) -> DataFrame:
     """(term, fold, docs, weight) summed over rows (_fold, _text); the empty term stands for all words."""
     shared = rows.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
@@ -121,9 +147,7 @@ def _sums(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
         for b in batches:
             for fold, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 counts = Counter(words(text.as_py()))
-                every = weights(counts)
-                found = every.items() if known is None else ((t, every[t]) for t in every.keys() & known)
-                for t, w in (("", _weight(counts)), *found):
+                for t, w in (("", _weight(counts)), *weights(counts, known).items()):
                     x = held.setdefault((t, fold), [0, 0.0])
                     x[0] += 1
                     x[1] += w
@@ -141,19 +165,17 @@ def _sums(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 def corpus_shares(docs: DataFrame, terms: frozenset[str], text_col: str) -> dict[str, float]:
     """Each term's share of the weight of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, Model({t: (0.0, 0.0) for t in terms}).heads))
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, heads = shared.value
+        known = shared.value
         total: dict[str, float] = {"": 0.0}
         for b in batches:
             for text in b.column(0):
                 counts = Counter(words(text.as_py()))
                 total[""] += _weight(counts)
-                near = Counter({w: n for w, n in counts.items() if w[: PREFIXES[0]] in heads})
-                for t, w in weights(near).items():
-                    if t in known:
-                        total[t] = total.get(t, 0.0) + w
+                for t, w in weights(counts, known).items():
+                    total[t] = total.get(t, 0.0) + w
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.float64())], ["term", "weight"])
 
     sums = docs.select(F.col(text_col)).mapInArrow(run, "term string, weight double").groupBy("term").agg(F.sum("weight").alias("weight")).collect()
@@ -283,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tested = toxic.count() - 1
     rows = {r.term: r for r in toxic.where((F.col("docs") >= MIN_DOCS) | (F.col("term") == "")).collect()}
     toxic.unpersist()
-    other = {r.term: r for r in _sums(sample.where("_label = 0"), frozenset(rows) - {""}).collect()}
+    other = {r.term: r for r in _sums(sample.where("_label = 0"), Terms(frozenset(rows) - {""})).collect()}
     names = sorted(rows)  # "" first
     table = lambda by: np.array([[by[t][f"w{k}"] if t in by else 0.0 for k in range(FOLDS)] for t in names])
     t, c = table(rows), table(other)

@@ -53,6 +53,18 @@ def test_evidence():
     assert toxicity.evidence(many, 20000, 0.01) > toxicity.evidence(many[:8], 20000, 0.01)
 
 
+def test_words_and_weights_by_either_way():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("abCD09_ .,-\n\x1f\x0bé²ßİ"[: rng.choice((12, 18))]) for _ in range(rng.randint(0, 200)))
+        found = toxicity.words(text)
+        assert found == re.findall(r"[^\W_]+", text.lower())
+        counts = collections.Counter(found)
+        every = toxicity.weights(counts)
+        some = {t for t in every if rng.random() < 0.4} | {"other", "^othe"}
+        assert toxicity.weights(counts, toxicity.Terms(some)) == {t: w for t, w in every.items() if t in some}
+
+
 def test_the_bar_is_that_of_benjamini_and_hochberg():
     rng = random.Random(4)
     for _ in range(50):
