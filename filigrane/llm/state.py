@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; a lost executor loses none of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system with all that it holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
