@@ -2,16 +2,26 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept. All but the last return the columns of documents.
+
+Edge cases, by stage. A null or empty text is no toxic document, has fingerprint
+zero (so one of all empty documents stays), holds no benchmark passage, no
+personal data and no tokens. Rows without an id stay through near-duplicates. Texts
+of any length are judged whole. Of near copies the smallest id stays, and of its
+rows with one fingerprint the one with the least hash. Repeated rows are copies.
+Empty tables give empty ones; without labels nothing is toxic, without a benchmark
+nothing is contaminated. Further columns pass through whatever they are called.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.llm import bpe, decontam, pii, simhash, toxicity
-from filigrane.llm.state import shared_folder
+from filigrane.llm.state import delete, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each one's rows written as Parquet in the shared folder and read by the next."""
-    import uuid
+    """STAGES applied to documents, each one's rows written as Parquet in the shared folder and read by the next.
 
+    A stage's rows are deleted when those of the next are written; the last ones stay for the rows returned."""
     base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
