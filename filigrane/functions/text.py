@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,35 @@ def keep_allowed(text: Column) -> Column:
     return F.regexp_replace(text, rf"[^\x00-\x7F{KEPT_SYMBOLS}]+", "")
 
 
+def unescaped(text: Column) -> Column:
+    """What old HTML cleaning does first: the text's UTF-8 bytes read as Latin-1 with backslash escapes resolved; unchanged where that fails."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return t if t is None else t.encode("utf-8").decode("unicode_escape").encode("utf-8", "replace").decode("utf-8")
+        except UnicodeDecodeError:
+            return t
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.when(F.contains(text, F.lit("\\")) | text.rlike(r"[^\x00-\x7F]"), read(text)).otherwise(text)
+
+
+def flat_keywords(groups: dict) -> list[str]:
+    """All keywords of a mapping of lists, or of mappings of lists, once each in order of first mention."""
+    found: dict[str, None] = {}
+    for value in groups.values():
+        found.update(dict.fromkeys(flat_keywords(value) if isinstance(value, dict) else value))
+    return list(found)
+
+
+def union_keywords(*columns: Column) -> Column:
+    """Distinct keywords of several array columns, in order of first mention; null arrays count as empty."""
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in columns])))
+
+
 def clean_paragraph(text: Column) -> Column:
     """Line breaks become spaces but for list items, then the cleaning steps."""
     out = F.when(text.rlike(LIST_ITEM), text).otherwise(F.regexp_replace(text, r"\n+", " "))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -112,6 +112,53 @@ def spec_to_actual(spec: str, actual: str) -> Column:
     return F.when(s & a, "Spec->Actual").when(s, "Spec->NoActual").when(a, "NoSpec->Actual").otherwise("NoSpec->NoActual")
 
 
+def agreements(df: DataFrame, variants: dict[str, dict[str, tuple[str, str]]]) -> DataFrame:
+    """One row a row and variant: variant, 0/1 flags <name>_agree of each pair of flags, and the class of the pair named overall."""
+    made = []
+    for name, pairs in variants.items():
+        t, g = (F.col(c) == 1 for c in pairs["overall"])
+        verdict = F.when(t & g, "True Positive").when(~t & ~g, "True Negative").when(g, "False Positive").otherwise("False Negative")
+        made.append(F.struct(F.lit(name).alias("variant"), *[(F.col(a) == F.col(b)).cast("int").alias(f"{k}_agree") for k, (a, b) in pairs.items()], verdict.alias("overall_classification")))
+    used = {c for pairs in variants.values() for pair in pairs.values() for c in pair}
+    return df.select(*[c for c in df.columns if c not in used], F.explode(F.array(*made)).alias("x")).select("*", "x.*").drop("x")
+
+
+def improvements(df: DataFrame, measures: dict[str, tuple[str | None, str, str, str]]) -> DataFrame:
+    """(metric, current_only, current_historic, improvement), all measures in one pass.
+
+    measures: name → (keyword flag or none, current flag, current and historic flag, measure); a measure is accuracy, precision, recall, f1 or positive_rate."""
+
+    def value(truth: str | None, guess: str, measure: str) -> Column:
+        g = F.col(guess) == 1
+        if measure == "positive_rate":
+            return _share(F.count_if(g), F.count(F.lit(1)))
+        t = F.col(truth) == 1
+        tp, fp, tn, fn = (F.count_if(x) for x in (t & g, ~t & g, ~t & ~g, t & ~g))
+        top, bottom = {"accuracy": (tp + tn, tp + fp + tn + fn), "precision": (tp, tp + fp), "recall": (tp, tp + fn), "f1": (2 * tp, 2 * tp + fp + fn)}[measure]
+        return _share(top, bottom)
+
+    cells = [F.struct(F.lit(name).alias("metric"), value(t, now, m).alias("current_only"), value(t, ever, m).alias("current_historic")) for name, (t, now, ever, m) in measures.items()]
+    rows = df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    return rows.withColumn("improvement", F.round(F.col("current_historic") - F.col("current_only"), 2))
+
+
+def refreshed(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys in which other's columns replace those of the same name."""
+    return rows.drop(*[c for c in other.columns if c not in keys]).join(other, keys, "left")
+
+
+def looked_up(rows: DataFrame, other: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each row with the first of its matches by order, as a scan of the other table would find it; null columns without one."""
+    rest = [c for c in other.columns if c not in keys]
+    first = other.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return rows.join(first, keys, "left").select("*", *[F.col("_first")[c].alias(c) for c in rest]).drop("_first")
+
+
+def renamed_flags(keyword: DataFrame) -> DataFrame:
+    """Keyword flags by what they say: user → keyword_user, <type>_user → keyword_<type>."""
+    return keyword.withColumnsRenamed({c: "keyword_user" if c == "user" else f"keyword_{c.removesuffix('_user')}" for c in keyword.columns if c == "user" or c.endswith("_user")})
+
+
 def delta(before: DataFrame, after: DataFrame, key: str, measures: list[str]) -> DataFrame:
     """Both summaries side by side and what each measure gained."""
     a = before.select(key, *[F.col(m).alias(f"{m}_before") for m in measures])
@@ -141,14 +188,24 @@ def multi_label_scores(df: DataFrame, labels: list[str], threshold: float = 0.5)
     return one.select("tp", "fp", "fn", _share(2 * tp, 2 * tp + fp + fn).alias("f1_micro"), _share(F.col("exact"), F.col("rows")).alias("exact_match"))
 
 
-def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks with ties averaged. Scores are counted by value first, so one row a distinct score is ordered."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    from pyspark.sql import Window
+AUC_PARTS = 64
 
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won"))
-    return parts.agg(F.round(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")), 6).alias("auc"))
+
+def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Area under the ROC curve by ranks with ties averaged.
+
+    Scores are counted by value, and the values dealt to AUC_PARTS ranges of about equal size: each range is ranked by
+    itself, from the rows below it, so no task holds all values."""
+    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
+    edges = sorted(set(by.approxQuantile("s", [i / AUC_PARTS for i in range(1, AUC_PARTS)], 0.005)))
+    part = sum(((F.col("s") > e).cast("int") for e in edges), F.lit(0))
+    parted = by.withColumn("part", part)
+    sums = parted.groupBy("part").agg(F.sum("n").alias("m"))
+    before = sums.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # AUC_PARTS rows
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = parted.withColumn("below", own).join(F.broadcast(before), "part")
+    won = ranked.select("p", "n", (F.col("p") * (F.col("before") + F.col("below") + F.col("n") / 2)).alias("won"))
+    return won.agg(F.round(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 def weighted_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -63,8 +63,11 @@ def _best_specific(score, threshold: float, tax: Taxonomy) -> Column:
     return out
 
 
-def candidates(tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD) -> Column:
-    """All labels of a prediction in order of priority, each once: array of (rank, score, id)."""
+def candidates(tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD, per_type: bool = False) -> Column:
+    """All labels of a prediction in order of priority, each once: array of (rank, score, id).
+
+    per_type, as notebooks rank: a type's context counts beside other types' use, speculative context has a rank of its own,
+    and penalties of the resolved type hold for use without a time, speculative use and context with a time, too."""
     p = lambda k: F.coalesce(F.col(k), F.lit(0.0))
     on = lambda k: p(k) >= threshold
     any_use = F.lit(False)
@@ -94,12 +97,15 @@ def candidates(tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD) -> C
 
     for t in tax.types:
         use, context = f"{t}_use", t
+        penalty = chosen(t, by_use, lambda s: float(tax.penalised.get(s, 0.0))) if per_type else F.lit(0.0)
         for k, time in enumerate(tax.times):
             label = chosen(t, by_use, lambda s, k=k: tax.usage_ids[s][k])
-            add(on(use) & on(time), 1 + k, p(use) * p(time), label)
-            if time != spec:  # with spec active a context-only mention isn't ranked here
+            add(on(use) & on(time), 1.0 + k + (penalty if time == spec else F.lit(0.0)), p(use) * p(time), label)
+            if per_type:
+                add(~on(use) & on(context) & on(time), (6.0 if time == spec else 5.0) + penalty, p(context) * p(time), label)
+            elif time != spec:  # with spec active a context-only mention isn't ranked here
                 add(~any_use & ~on(spec) & on(context) & on(time), 5, p(context) * p(time), label)
-        add(on(use) & ~any_time, 1.5, p(use), chosen(t, by_use, lambda s: tax.usage_ids[s][0]))
+        add(on(use) & ~any_time, 1.5 + penalty, p(use), chosen(t, by_use, lambda s: tax.usage_ids[s][0]))
     for x in tax.extras:
         add(on(x) & on(now), 4, p(x) * p(now), F.lit(tax.extra_ids[x][0]))
         add(on(x) & ~on(now), 7, p(x), F.lit(tax.extra_ids[x][1]))
@@ -110,9 +116,9 @@ def candidates(tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD) -> C
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def resolve(df: DataFrame, tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD) -> DataFrame:
+def resolve(df: DataFrame, tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD, per_type: bool = False) -> DataFrame:
     """df with label_ids and label_scores (arrays, best first, each id once), primary_id, primary_score, tier and active labels."""
-    d = df.withColumn("_all", candidates(tax, threshold)).withColumn("_ids", F.transform("_all", lambda x: x["id"]))
+    d = df.withColumn("_all", candidates(tax, threshold, per_type)).withColumn("_ids", F.transform("_all", lambda x: x["id"]))
     d = d.withColumn("_own", F.filter("_all", lambda x, i: F.array_position("_ids", x["id"]) == i + 1))
     none = F.size("_own") == 0
     d = d.withColumn("label_ids", F.when(none, F.array(F.lit(tax.irrelevant_id))).otherwise(F.transform("_own", lambda x: x["id"])))

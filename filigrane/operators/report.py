@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from filigrane.functions.taxonomy import FINANCE, Taxonomy
 from filigrane.operators.labels import name_of, resolve
 
-#: The report's groups of labels.
+# The report's workbooks and the labels of each; context stands with its type.
 GROUPS = {
-    "Generic": (0, 1, 2),
-    "Interest_Rate": (3, 4, 5),
-    "Foreign_Exchange": (6, 7, 8),
-    "Commodity": (9, 10, 11),
-    "Equity": (12, 13, 14),
-    "Speculative": (2, 5, 8, 11, 14),
-    "Context": (15, 16, 17, 18, 19),
-    "Warrant_Embedded": (20, 21, 22, 23),
+    "General_Hedge": (0, 1, 2, 15),
+    "IR_Hedge": (3, 4, 5, 16),
+    "FX_Hedge": (6, 7, 8, 17),
+    "CP_Hedge": (9, 10, 11, 18),
+    "EQ_Hedge": (12, 13, 14, 19),
+    "Warrant": (20, 21),
+    "Embedded_Derivative": (22, 23),
+    "Speculation": (),
     "Irrelevant": (24,),
 }
+# The older groups, over older ids; four labels belong to two of them.
+OLD_GROUPS = {
+    "Gen_Hedge_0-1-2": (0, 1, 2),
+    "Speculation_Policy_2_14_15_16": (2, 14, 15, 16),
+    "Irrelevant_3": (3,),
+    "Liabilities_Warrants_4-5": (4, 5),
+    "Embedded_Derivatives_6-7": (6, 7),
+    "IR_Hedge_8-9-14": (8, 9, 14),
+    "FX_Hedge_10-11-15": (10, 11, 15),
+    "CP_Hedge_12-13-16": (12, 13, 16),
+}
 
 
 def labelled_sentences(rows: DataFrame, keys: list[str], threshold: float, tax: Taxonomy = FINANCE) -> DataFrame:
@@ -50,7 +61,7 @@ def flat_matches(json_column: Column) -> Column:
 
 def in_groups(rows: DataFrame, label_id: str, groups: dict[str, tuple[int, ...]] = GROUPS) -> DataFrame:
     """Each row once for every group its label belongs to."""
-    tags = F.array_compact(F.array(*[F.when(F.col(label_id).isin(*ids), g) for g, ids in groups.items()]))
+    tags = F.array_compact(F.array(*[F.when(F.col(label_id).isin(*ids), g) for g, ids in groups.items() if ids]))
     return rows.select("*", F.explode(tags).alias("label_group"))
 
 
@@ -88,6 +99,31 @@ def inspection(rows: DataFrame, keys: list[str], threshold: float, tax: Taxonomy
     return d.groupBy(*keys).agg(F.count("*").alias("sentences"), *counts, F.count_if(any_use & now).alias("any_current_use"), F.expr("mode() WITHIN GROUP (ORDER BY primary_id)").alias("mode_label"), *labels)
 
 
+def inspected(rows: DataFrame, keys: list[str], number: str, threshold: float, tax: Taxonomy = FINANCE) -> DataFrame:
+    """A record a sentence for a reader: its number in the report, primary and all labels, active multi-labels ("None" where there are none), top scores, each label as 0 or 1 and as its probability."""
+    d = resolve(rows, tax, threshold)
+    p = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in tax.labels}
+    active = F.array_join(F.array_compact(F.array(*[F.when(p[k] >= threshold, k) for k in tax.labels])), ", ")
+    names = F.array_join(F.transform("label_ids", lambda i: name_of(i, tax)), "; ")
+    return d.select(
+        *keys,
+        F.col(number).alias("sentence_num"),
+        name_of(F.col("primary_id"), tax).alias("primary_label"),
+        names.alias("all_primary_labels"),
+        F.when(active == "", "None").otherwise(active).alias("active_multilabels"),
+        top_scores(tax).alias("top_5_predictions"),
+        *[(p[k] >= threshold).cast("int").alias(k) for k in tax.labels],
+        *[p[k].alias(f"prob_{k}") for k in tax.labels],
+    )
+
+
+def inspection_totals(reports: DataFrame, url: str, sentences: str, users: str) -> DataFrame:
+    """One row over reports: firms analysed, with data, sentences processed, and firms that use derivatives."""
+    return reports.agg(
+        F.countDistinct(url).alias("firms"), F.countDistinct(F.when(F.col(sentences) > 0, F.col(url))).alias("firms_with_data"), F.coalesce(F.sum(sentences), F.lit(0)).alias("sentences"), F.countDistinct(F.when(F.col(users) > 0, F.col(url))).alias("derivative_users")
+    )
+
+
 def sentence_block(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Sentences of each report in order, with a blank line between."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

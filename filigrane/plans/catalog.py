@@ -11,7 +11,7 @@ from filigrane.functions import documents, text
 from filigrane.functions.taxonomy import DEMO_CATEGORIES, FINANCE, NAMES, Taxonomy
 from filigrane.operators import compare, flags, labels, matrix, report, sample
 from filigrane.operators.labels import LABEL_THRESHOLD
-from filigrane.plans import analysis, demo, generate
+from filigrane.plans import analysis, demo, generate, templates
 from filigrane.plans.demo import BASE, COUNTS, FLAGS, KEYWORD, LABELS, MODEL_COLUMNS, PRED, table
 from filigrane.sources import tables
 from filigrane.streaming import incremental
@@ -83,20 +83,27 @@ def insert_missing(spark, sf_dir):
     return tables.insert_missing(c, o, ["o_custkey"])
 
 
-@query(
-    """SELECT s_name AS name, s_suppkey::VARCHAR AS ticker, form AS type, filed AS filing_date, filed AS report_date,
-    'https://www.sec.gov/Archives/edgar/data/' || s_suppkey || '/' || acc || '/' || CASE WHEN doc = '' OR doc LIKE '%txt' THEN substr(acc, 1, 10) || '-' || substr(acc, 11, 2) || '-' || substr(acc, 13) || '.txt' ELSE doc END AS url
-    FROM (SELECT s_suppkey, s_name, unnest(['10-K', '8-K', '20-F', '10-K405']) AS form, unnest([lpad(s_suppkey::VARCHAR, 18, '0'), lpad((s_suppkey + 1)::VARCHAR, 18, '0'), lpad((s_suppkey + 2)::VARCHAR, 18, '0'), lpad((s_suppkey + 3)::VARCHAR, 18, '0')]) AS acc,
-          unnest(['a.htm', 'b.htm', '', 'c.txt']) AS doc, unnest(['2001-01-02', '2002-01-02', '2003-01-02', '2004-01-02']) AS filed FROM supplier) WHERE form <> '8-K'"""
-)
+#: A firm's orders as the columns of its submissions.
+_FORM = "CASE o_orderkey % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '8-K' WHEN 2 THEN '20-F' WHEN 3 THEN '10-K405' ELSE '6-K' END"
+_DOCUMENT = "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'c.txt' ELSE concat('d', o_orderkey, '.htm') END"
+_FILINGS_SQL = f"""SELECT c_name AS name, c_custkey::VARCHAR AS ticker, {_FORM} AS type, o_orderdate::DATE::VARCHAR AS filing_date, o_orderdate::DATE::VARCHAR AS report_date,
+    'https://www.sec.gov/Archives/edgar/data/' || c_custkey || '/' || lpad(o_orderkey::VARCHAR, 18, '0') || '/' || CASE WHEN {_DOCUMENT} = '' OR {_DOCUMENT} LIKE '%txt' THEN regexp_replace(lpad(o_orderkey::VARCHAR, 18, '0'), '^(.{{10}})(..)(.*)$', '\\1-\\2-\\3') || '.txt' ELSE {_DOCUMENT} END AS url
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_FORM} IN ('10-K', '20-F', '10-K405')"""
+
+
+def filing_columns(spark, sf_dir) -> DataFrame:
+    """(cik, name, ticker, form, accession, document, filed, reported): a customer's orders as parallel arrays."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    number = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
+    date = F.col("o_orderdate").cast("date").cast("string")
+    one = F.struct(F.expr(_FORM).alias("form"), F.concat_ws("-", F.substring(number, 1, 10), F.substring(number, 11, 2), F.substring(number, 13, 6)).alias("accession"), F.expr(_DOCUMENT).alias("document"), date.alias("filed"), date.alias("reported"))
+    by = o.groupBy(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name")).agg(F.collect_list(one).alias("x"))
+    return by.select("cik", "name", F.lit(None).cast("string").alias("ticker"), *[F.col(f"x.{k}").alias(k) for k in ("form", "accession", "document", "filed", "reported")])
+
+
+@query(_FILINGS_SQL)
 def filings_explode(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    number = lambda i: F.lpad((F.col("s_suppkey") + i).cast("string"), 18, "0")
-    dashed = lambda c: F.concat_ws("-", F.substring(c, 1, 10), F.substring(c, 11, 2), F.substring(c, 13, 6))
-    texts = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    dates = texts("2001-01-02", "2002-01-02", "2003-01-02", "2004-01-02")
-    rows = s.select(F.col("s_suppkey").alias("cik"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("ticker"), texts("10-K", "8-K", "20-F", "10-K405").alias("form"), F.array(*[dashed(number(i)) for i in range(4)]).alias("accession"), texts("a.htm", "b.htm", "", "c.txt").alias("document"), dates.alias("filed"), dates.alias("reported"))
-    return tables.filings(rows)
+    return tables.filings(filing_columns(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS report_date FROM orders WHERE o_orderdate::DATE::VARCHAR LIKE '1995%'")
@@ -111,9 +118,9 @@ def clean_names(spark, sf_dir):
     return tables.clean_names(c).select("cik", text.padded_cik(F.col("cik")).alias("padded"), "name")
 
 
-@query("""SELECT '<case num="' || vec_id || '"><sentence>a &lt;b&gt; &amp; c</sentence><label>' || label || '</label></case>' AS value FROM embeddings""")
+@query("""SELECT '<case num="' || doc_id || '"><sentence>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</sentence><label>' || lang || '</label></case>' AS value FROM documents WHERE text IS NOT NULL""")
 def case_export(spark, sf_dir):
-    return tables.case_lines(table(spark, sf_dir, "embeddings").withColumn("s", F.lit("a <b> & c")), "vec_id", "s", "label")
+    return tables.case_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text", "lang")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 1 GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
@@ -135,14 +142,14 @@ def label_counts(spark, sf_dir):
     return demo.counts(spark, sf_dir)
 
 
-def _primary_sql() -> str:
+def primary_sql(tax: Taxonomy = FINANCE, per_type: bool = False) -> str:
     t = LABEL_THRESHOLD
-    types = FINANCE.types
-    top_use = "greatest(" + ", ".join(f"{s} + {s}_use" for s in FINANCE.specific) + ")"
-    top_context = "greatest(" + ", ".join(FINANCE.specific) + ")"
+    types = tax.types
+    top_use = "greatest(" + ", ".join(f"{s} + {s}_use" for s in tax.specific) + ")"
+    top_context = "greatest(" + ", ".join(tax.specific) + ")"
 
     def resolved(top: str, score: Callable[[str], str], value: Callable[[str], object]) -> str:
-        whens = " ".join(f"WHEN {score(s)} = {top} THEN {value(s)}" for s in FINANCE.specific)
+        whens = " ".join(f"WHEN {score(s)} = {top} THEN {value(s)}" for s in tax.specific)
         return f"(CASE WHEN {top} < {t * 0.7} OR {top} <= 0 THEN {value('gen')} {whens} END)"
 
     any_use = "(" + " OR ".join(f"{k}_use >= {t}" for k in types) + ")"
@@ -153,26 +160,29 @@ def _primary_sql() -> str:
         out.append(f"SELECT vec_id, {rank} AS rank, {score} AS score, {len(out)} AS o, {label} AS id FROM pred WHERE {condition}")
 
     for k in types:
+        pen = "0.0" if not per_type else resolved(top_use, lambda s: f"{s} + {s}_use", lambda s: tax.penalised.get(s, 0.0)) if k == "gen" else str(tax.penalised.get(k, 0.0))
         for i, time in enumerate(("curr", "hist", "spec")):
-            label = FINANCE.usage_ids[k][i] if k != "gen" else resolved(top_use, lambda s: f"{s} + {s}_use", lambda s, i=i: FINANCE.usage_ids[s][i])
-            add(f"{k}_use >= {t} AND {time} >= {t}", str(i + 1), f"{k}_use * {time}", label)
-            if time != "spec":
+            label = tax.usage_ids[k][i] if k != "gen" else resolved(top_use, lambda s: f"{s} + {s}_use", lambda s, i=i: tax.usage_ids[s][i])
+            add(f"{k}_use >= {t} AND {time} >= {t}", f"{i + 1} + {pen}" if time == "spec" else str(i + 1), f"{k}_use * {time}", label)
+            if per_type:
+                add(f"{k}_use < {t} AND {k} >= {t} AND {time} >= {t}", f"{6 if time == 'spec' else 5} + {pen}", f"{k} * {time}", label)
+            elif time != "spec":
                 add(f"NOT {any_use} AND spec < {t} AND {k} >= {t} AND {time} >= {t}", "5", f"{k} * {time}", label)
-        add(f"{k}_use >= {t} AND {no_time}", "1.5", f"{k}_use", FINANCE.usage_ids[k][0] if k != "gen" else resolved(top_use, lambda s: f"{s} + {s}_use", lambda s: FINANCE.usage_ids[s][0]))
-    for x, (now, then) in FINANCE.extra_ids.items():
+        add(f"{k}_use >= {t} AND {no_time}", f"1.5 + {pen}", f"{k}_use", tax.usage_ids[k][0] if k != "gen" else resolved(top_use, lambda s: f"{s} + {s}_use", lambda s: tax.usage_ids[s][0]))
+    for x, (now, then) in tax.extra_ids.items():
         add(f"{x} >= {t} AND curr >= {t}", "4", f"{x} * curr", now)
         add(f"{x} >= {t} AND curr < {t}", "7", x, then)
     for k in types:
         rank = lambda s: 8.1 if s == "eq" else 8.0
         if k == "gen":
-            add(f"NOT {any_use} AND gen >= {t}", resolved(top_context, str, rank), k, resolved(top_context, str, lambda s: FINANCE.context_ids[s]))
+            add(f"NOT {any_use} AND gen >= {t}", resolved(top_context, str, rank), k, resolved(top_context, str, lambda s: tax.context_ids[s]))
         else:
-            add(f"NOT {any_use} AND {k} >= {t}", str(rank(k)), k, FINANCE.context_ids[k])
+            add(f"NOT {any_use} AND {k} >= {t}", str(rank(k)), k, tax.context_ids[k])
     add(f"irr >= {t}", "9", "irr", 24)
     return "cand AS (" + " UNION ALL ".join(out) + "), one AS (SELECT *, row_number() OVER (PARTITION BY vec_id, id ORDER BY rank, score DESC, o) AS r FROM cand), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY rank, score DESC, o) AS place FROM one WHERE r = 1), prim AS (SELECT pred.*, coalesce(id, 24)::INTEGER AS primary_id, coalesce(score, 0.0) AS primary_score FROM pred LEFT JOIN (SELECT vec_id, id, score FROM best WHERE place = 1) USING (vec_id))"
 
 
-PRIMARY = _primary_sql()
+PRIMARY = primary_sql()
 _NAME_CASE = "CASE primary_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in NAMES.items()) + " END"
 
 
@@ -415,19 +425,19 @@ def hedge_by_type(spark, sf_dir):
 _HISTORIC, _CURRENT, _SPECULATIVE = (" + ".join(f"count_{i + k}" for i in (0, 3, 6, 9, 12)) for k in (1, 0, 2))
 
 
-@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE cik IN (SELECT cik FROM hist_t GROUP BY cik HAVING sum({_HISTORIC}) > 0 AND sum({_CURRENT}) < 3)")
+@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE url IN (SELECT url FROM hist_t GROUP BY url HAVING sum({_HISTORIC}) > 0 AND sum({_CURRENT}) < 3)")
 def historic_only(spark, sf_dir):
-    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr(f"sum({_HISTORIC}) > 0 AND sum({_CURRENT}) < 3")).select("url", "cik", "year")
+    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr(f"sum({_HISTORIC}) > 0 AND sum({_CURRENT}) < 3"), "url").select("url", "cik", "year")
 
 
-@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE cik IN (SELECT cik FROM hist_t GROUP BY cik HAVING sum({_SPECULATIVE}) > 0 AND sum({_HISTORIC}) = 0)")
+@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE url IN (SELECT url FROM hist_t GROUP BY url HAVING sum({_SPECULATIVE}) > 0 AND sum({_HISTORIC}) = 0)")
 def speculative_only(spark, sf_dir):
-    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr(f"sum({_SPECULATIVE}) > 0 AND sum({_HISTORIC}) = 0")).select("url", "cik", "year")
+    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr(f"sum({_SPECULATIVE}) > 0 AND sum({_HISTORIC}) = 0"), "url").select("url", "cik", "year")
 
 
-@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE cik IN (SELECT cik FROM hist_t GROUP BY cik HAVING sum(count_2) > 0 AND sum(total - count_2) < 100 * sum(count_2))")
+@query(f"WITH {HISTOGRAM} SELECT url, cik, year FROM hist_t WHERE url IN (SELECT url FROM hist_t GROUP BY url HAVING sum({_SPECULATIVE}) > 0 AND sum(total - ({_SPECULATIVE})) < 100 * sum({_SPECULATIVE}))")
 def speculation_heavy(spark, sf_dir):
-    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr("sum(count_2) > 0 AND sum(total - count_2) < 100 * sum(count_2)")).select("url", "cik", "year")
+    return matrix.firms_where(label_histogram(spark, sf_dir), F.expr(f"sum({_SPECULATIVE}) > 0 AND sum(total - ({_SPECULATIVE})) < 100 * sum({_SPECULATIVE})"), "url").select("url", "cik", "year")
 
 
 @query(f"WITH {HISTOGRAM} SELECT url, count_20 + count_21 AS warrants, count_22 + count_23 AS embedded FROM hist_t WHERE count_20 + count_21 > 0 OR count_22 + count_23 > 0")
@@ -455,10 +465,11 @@ def length_histogram(spark, sf_dir):
     return matrix.width_histogram(table(spark, sf_dir, "documents"), F.col("n_chars"), 100)
 
 
-@query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS spread, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, round(quantile_cont(n_chars, 0.25), 4) AS q25, round(quantile_cont(n_chars, 0.5), 4) AS q50, round(quantile_cont(n_chars, 0.75), 4) AS q75, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS spread, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
 def describe_length(spark, sf_dir):
     n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.stddev_samp(n), 4).alias("spread"), F.min(n).alias("least"), F.max(n).alias("most"))
+    quantiles = [F.round(F.percentile(n, F.lit(q / 100)), 4).alias(f"q{q}") for q in (25, 50, 75)]
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), *quantiles, F.round(F.avg(n), 4).alias("mean"), F.round(F.stddev_samp(n), 4).alias("spread"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
 @query("SELECT o_custkey AS cik, array_to_string(list_sort(list_distinct(list(year(o_orderdate)))), ',') AS years FROM orders GROUP BY o_custkey")
@@ -470,19 +481,34 @@ def years_by_firm(spark, sf_dir):
 # Reports ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PRED}, {PRIMARY} SELECT vec_id, url, cik, year, primary_id, {_NAME_CASE} AS primary_label, round(primary_score, 6) AS primary_score, CASE WHEN primary_score >= 0.75 THEN 'high' WHEN primary_score >= 0.5 THEN 'medium' ELSE 'low' END AS tier, concat_ws('; ', {', '.join(f'CASE WHEN {k} >= {LABEL_THRESHOLD} THEN {chr(39)}{k}{chr(39)} END' for k in LABELS)}) AS active FROM prim")
+_TOP_SQL = f"l AS (SELECT vec_id, unnest([{', '.join(LABELS)}]) AS s, unnest([{', '.join(chr(39) + k + chr(39) for k in LABELS)}]) AS k, unnest(range(16)) AS i FROM pred), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) AS p FROM l), tops AS (SELECT vec_id, string_agg(k || ':' || format('{{:.3f}}', s), ', ' ORDER BY p) AS top FROM r WHERE p <= 5 GROUP BY vec_id)"
+
+
+def names_sql(sep: str) -> str:
+    """All labels of a sentence by name, best first."""
+    return f"names AS (SELECT vec_id, string_agg({_NAME_CASE.replace('primary_id', 'id')}, '{sep}' ORDER BY place) AS labels FROM best GROUP BY vec_id)"
+
+
+def active_sql(sep: str) -> str:
+    return f"concat_ws('{sep}', {', '.join(f'CASE WHEN {k} >= {LABEL_THRESHOLD} THEN {chr(39)}{k}{chr(39)} END' for k in LABELS)})"
+
+
+@query(
+    f"WITH {PRED}, {PRIMARY}, {_TOP_SQL}, {names_sql(', ')} SELECT vec_id, url, cik, year, primary_id, {_NAME_CASE} AS primary_label, round(primary_score, 6) AS primary_score, CASE WHEN primary_score >= 0.75 THEN 'high' WHEN primary_score >= 0.5 THEN 'medium' ELSE 'low' END AS tier, coalesce(labels, 'Irrelevant Non-Hedge') AS labels, {active_sql('; ')} AS active, top, "
+    + ", ".join(f"{k} AS prob_{k}" for k in LABELS)
+    + " FROM prim LEFT JOIN names USING (vec_id) JOIN tops USING (vec_id)"
+)
 def labeled_sentences(spark, sf_dir):
-    d = report.labelled_sentences(demo.predictions(spark, sf_dir), ["vec_id", "url", "cik", "year"], LABEL_THRESHOLD)
-    return d.select("vec_id", "url", "cik", "year", "primary_id", "primary_label", "primary_score", "tier", "active")
+    return report.labelled_sentences(demo.predictions(spark, sf_dir), ["vec_id", "url", "cik", "year"], LABEL_THRESHOLD)
 
 
-@query(f"WITH {PRED}, l AS (SELECT vec_id, unnest([{', '.join(LABELS)}]) AS s, unnest([{', '.join(chr(39) + k + chr(39) for k in LABELS)}]) AS k, unnest(range(16)) AS i FROM pred), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) AS p FROM l) SELECT vec_id, string_agg(k || ':' || format('{{:.3f}}', s), ', ' ORDER BY p) AS top FROM r WHERE p <= 5 GROUP BY vec_id")
+@query(f"WITH {PRED}, {_TOP_SQL} SELECT vec_id, top FROM tops")
 def top5(spark, sf_dir):
     return demo.predictions(spark, sf_dir).select("vec_id", report.top_scores().alias("top"))
 
 
 def _group_rows() -> str:
-    return " UNION ALL ".join(f"SELECT '{g}' AS label_group, primary_id, cik, url, year FROM prim WHERE primary_id IN ({', '.join(map(str, ids))})" for g, ids in report.GROUPS.items())
+    return " UNION ALL ".join(f"SELECT '{g}' AS label_group, primary_id, cik, url, year FROM prim WHERE primary_id IN ({', '.join(map(str, ids))})" for g, ids in report.GROUPS.items() if ids)
 
 
 @query(f"WITH {PRED}, {PRIMARY}, g AS ({_group_rows()}), s AS (SELECT label_group, coalesce(primary_id::VARCHAR, 'TOTAL') AS label, count(*) AS total, count(DISTINCT cik) AS firms, count(DISTINCT url) AS urls, min(year) AS first_year, max(year) AS last_year FROM g GROUP BY GROUPING SETS ((label_group, primary_id), (label_group))) SELECT s.label_group, label, total, round(total * 100.0 / t.n, 2) AS pct_of_group, firms, urls, round(total / firms::DOUBLE, 2) AS per_firm, round(total / urls::DOUBLE, 2) AS per_url, first_year, last_year FROM s JOIN (SELECT label_group, count(*) AS n FROM g GROUP BY label_group) t ON s.label_group = t.label_group")
@@ -517,12 +543,12 @@ def sheet_names(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", report.sheet_name(n).alias("sheet"))
 
 
-@query("WITH z AS (SELECT conv_id, list(text ORDER BY turn) AS a, list(role ORDER BY turn) FILTER (WHERE turn > 0) AS b FROM conversations GROUP BY conv_id) SELECT conv_id, least(len(a), coalesce(len(b), 0)) AS pairs FROM z")
+@query("WITH a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations), b AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i FROM conversations WHERE turn > 0) SELECT conv_id, i AS place, text AS sentence, role AS pred FROM a JOIN b USING (conv_id, i)")
 def paired_by_place(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     in_order = lambda col, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("turn", col)))), lambda x: x[col])
     lists = c.groupBy("conv_id").agg(in_order("text", F.lit(True)).alias("a"), in_order("role", F.col("turn") > 0).alias("b"))
-    return lists.select("conv_id", F.size(report.paired(F.col("a"), F.col("b"))).alias("pairs"))
+    return lists.select("conv_id", F.posexplode(report.paired(F.col("a"), F.col("b"))).alias("i", "x")).select("conv_id", (F.col("i") + 1).cast("long").alias("place"), "x.sentence", "x.pred")
 
 
 @query(f"{BASE} SELECT cik, year, '' AS reviewer_label, '' AS reviewer_note, {', '.join(sorted(MODEL_COLUMNS))} FROM model")
@@ -596,24 +622,43 @@ def train_split(spark, sf_dir):
 # Text -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(regexp_replace(replace(coalesce(text, ''), '—', '--'), '[^\\x00-\\x7F€£¥¢]+', '', 'g')) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[•“”‘’]')")
+def _rewritten_sql(t: str) -> str:
+    for old, new in text.REWRITTEN:
+        t = f"replace({t}, '{old}', '{new.replace(chr(39), chr(39) * 2)}')"
+    return t
+
+
+@query(f"SELECT doc_id, md5(regexp_replace({_rewritten_sql("coalesce(text, '')")}, '[^\\x00-\\x7F€£¥¢]+', '', 'g')) AS digest FROM documents")
 def keep_allowed(spark, sf_dir):
-    d = _documents(spark, sf_dir).where(~F.col("text").rlike("[•“”‘’]"))
-    return d.select("doc_id", F.md5(text.keep_allowed(F.col("text"))).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.keep_allowed(F.col("text"))).alias("digest"))
+
+
+#: Every document also as a list item and between the signs that are rewritten.
+_SIGNED = "concat('• “', coalesce(text, ''), '” — ‘x’ €')"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace({_rewritten_sql(_SIGNED)}, '[^\\x00-\\x7F€£¥¢]+', '', 'g')) AS digest FROM documents")
+def keep_signs(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.keep_allowed(F.expr(_SIGNED))).alias("digest"))
 
 
 def _clean_sql(t: str) -> str:
-    t = f"regexp_replace({t}, '\\n+', ' ', 'g')"
+    t = f"CASE WHEN regexp_matches({t}, '^([-*•]\\s*|\\(?\\d+[.)]\\s+)') THEN {t} ELSE regexp_replace({t}, '\\n+', ' ', 'g') END"
     for pattern, new in text.CLEANING:
         flag = "'gi'" if pattern.startswith("(?i)") else "'g'"
         t = f"regexp_replace({t}, '{pattern.removeprefix('(?i)')}', '{new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', {flag})"
     return f"trim({t})"
 
 
-@query(f"SELECT doc_id, md5({_clean_sql('text')}) AS digest FROM documents WHERE NOT regexp_matches(text, '^([-*•]\\s*|\\(?\\d+[.)]\\s+)')")
+@query(f"SELECT doc_id, md5({_clean_sql("coalesce(text, '')")}) AS digest FROM documents")
 def clean_text(spark, sf_dir):
-    d = _documents(spark, sf_dir).where(~F.col("text").rlike(text.LIST_ITEM))
-    return d.select("doc_id", F.md5(text.clean_paragraph(F.col("text"))).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.clean_paragraph(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5({_clean_sql("CASE WHEN doc_id % 2 = 0 THEN concat('(', doc_id % 90 + 1, ') ', coalesce(text, '')) ELSE concat('- ', coalesce(text, '')) END")}) AS digest FROM documents")
+def clean_items(spark, sf_dir):
+    item = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("("), (F.col("doc_id") % 90 + 1).cast("string"), F.lit(") "), "text")).otherwise(F.concat(F.lit("- "), "text"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.clean_paragraph(item)).alias("digest"))
 
 
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(30), 'g'), '([a-z])([A-Z])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda s: trim(s)), lambda s: s <> '')"
@@ -745,5 +790,34 @@ def corpus_plan(spark, sf_dir):
 
 @query()
 def corpus_sentences(spark, sf_dir):
-    plan = generate.hedge_plan(spark, 100).union(generate.bargaining_plan(spark, 20)).where("kind <> 'liability'")
+    """Every row of the three plans."""
+    plan = generate.hedge_plan(spark, 100).union(generate.bargaining_plan(spark, 20)).union(generate.legacy_plan(spark, 50))
     return generate.corpus(generate.seeds(plan))
+
+
+@query("SELECT kind, type, time, n FROM (VALUES " + ", ".join(f"('old_hedge', '{t}', '{time}', {10 * k})" for t in ("ir", "fx", "cp", "gen") for time, k in (("curr", 3), ("hist", 3), ("spec", 1))) + ", " + ", ".join(f"('liability', '{i}', 'none', 5)" for i in range(3, 8)) + ", ('old_noise', 'random', 'none', 100), " + ", ".join(f"('bargaining', '{k}', 'none', {20 * w})" for k, w in (("coverage", 3), ("no_coverage", 2), ("risk", 1), ("international", 1), ("us_only", 1), ("adversarial", 1), ("irrelevant", 1))) + ") v(kind, type, time, n)")
+def other_plans(spark, sf_dir):
+    plan = generate.legacy_plan(spark, 50).union(generate.bargaining_plan(spark, 20))
+    return generate.seeds(plan).groupBy("kind", "type", "time").agg(F.count("*").cast("int").alias("n"))
+
+
+def _templates_sql() -> str:
+    """The builders' numbers of templates by type, counted from the pools."""
+    rows = []
+    for t in FINANCE.types:
+        results = len(templates.RESULTS["gen"]) + (len(templates.RESULTS[t]) if t != "gen" else 0)
+        rows += [(t, time, len(templates.POSITIONS[time]) * (1 if time == "spec" else len(templates.FIGURES) * len(templates.CONNECTORS) * results)) for time in ("curr", "hist", "spec")]
+        rows += [(t, "mitigation", len(templates.INSTRUMENTS) * len(templates.MITIGATIONS)), (t, "context", 3 * len(templates.EXPOSURES[t]))]
+    return "SELECT type, builder, n FROM (VALUES " + ", ".join(f"('{a}', '{b}', {n}::BIGINT)" for a, b, n in rows) + ") v(type, builder, n)"
+
+
+@query(_templates_sql())
+def built_templates(spark, sf_dir):
+    parts = []
+    for t in FINANCE.types:
+        parts += [generate.position_templates(spark, t, time).withColumn("builder", F.lit(time)) for time in ("curr", "hist", "spec")]
+        parts += [generate.mitigation_templates(spark, t).withColumn("builder", F.lit("mitigation")), generate.context_templates(spark, t).withColumn("builder", F.lit("context"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct().groupBy("type", "builder").agg(F.count("*").alias("n"))

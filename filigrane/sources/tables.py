@@ -37,11 +37,19 @@ def valid_reports(reports: DataFrame, valid: bool = True) -> DataFrame:
     return reports.where((F.col("url") != "") if valid else (F.col("url") == ""))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or an empty one where there is none."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, fallback: DataFrame | None = None, required: tuple[str, ...] = ()) -> DataFrame:
     """A CSV file with a header; the fallback where the file doesn't exist. A missing required column raises."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         if fallback is None:
             raise FileNotFoundError(path)
         return fallback
@@ -72,6 +80,16 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
 
 
+def accepted(results: DataFrame, column: str, schema: str, reports: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose JSON column is of the schema, failures to add): a failure is (cik, year, url, reason) of a report, for bad rows whose url has none yet."""
+    raw = F.col(column)
+    reason = F.when(raw.isNull() | (F.trim(raw) == ""), "no response").when(F.from_json(raw, schema).isNull(), "not valid JSON").when(F.size(F.from_json(raw, schema)) == 0, "no predictions")
+    judged = results.withColumn("reason", reason)
+    bad = judged.where("reason IS NOT NULL").groupBy("url").agg(F.min("reason").alias("reason"))
+    failed = bad.join(reports.select("cik", "year", "url").dropDuplicates(["url"]), "url").select("cik", "year", "url", "reason")
+    return judged.where("reason IS NULL").drop("reason"), insert_missing(known, failed, ["url"])
+
+
 def update(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of changes replaced where a key matches; a key given twice in changes is an error of the caller."""
     new = [c for c in changes.columns if c not in keys]
@@ -92,9 +110,15 @@ def text_lines(rows: DataFrame, columns: list[str], n: int | None = None) -> Dat
     return out.limit(n) if n is not None else out
 
 
-def write_by(rows: DataFrame, folder: str, column: str) -> None:
-    """One Parquet folder a value; rows of a value are brought together first, so files stay few."""
-    rows.repartition(column).write.mode("overwrite").partitionBy(column).parquet(folder)
+FILE_ROWS = 1_000_000
+
+
+def write_by(rows: DataFrame, folder: str, column: str, file_rows: int = FILE_ROWS) -> None:
+    """One Parquet folder a value. Rows of a value are brought together in tasks of about file_rows; a frequent value takes several."""
+    counts = rows.groupBy(F.col(column).alias("_v")).agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))
+    sized = rows.join(F.broadcast(counts), rows[column].eqNullSafe(F.col("_v")), "left")  # one row a folder
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != column] or [column]), F.coalesce("_files", F.lit(1))))
+    salted.repartition(column, "_salt").select(*rows.columns).write.mode("overwrite").partitionBy(column).parquet(folder)
 
 
 def write_bundle(bundle: dict[str, DataFrame], folder: str) -> None:
@@ -133,6 +157,26 @@ def filings(submissions: DataFrame) -> DataFrame:
     return kept.select("name", "ticker", F.col("f.form").alias("type"), F.col("f.filed").alias("filing_date"), F.col("f.reported").alias("report_date"), accession_url(F.col("cik"), F.col("f.accession"), F.col("f.document")).alias("url"))
 
 
+_COLUMNS = "struct<form:array<string>,accessionNumber:array<string>,primaryDocument:array<string>,filingDate:array<string>,reportDate:array<string>>"
+SUBMISSION = f"struct<name:string,tickers:array<string>,filings:struct<recent:{_COLUMNS},files:array<struct<name:string>>>>"
+
+
+def _filing_arrays(columns: Column) -> list[Column]:
+    return [columns[a].alias(b) for a, b in (("form", "form"), ("accessionNumber", "accession"), ("primaryDocument", "document"), ("filingDate", "filed"), ("reportDate", "reported"))]
+
+
+def submitted_filings(firms: DataFrame, older: DataFrame) -> DataFrame:
+    """Filings of firms (cik, body) from the JSON of their submissions: the recent ones, and those of the older files (file, body) that it names.
+
+    A body that is missing or no JSON adds nothing; a firm without a ticker has its number for one."""
+    parsed = firms.select("cik", F.from_json("body", SUBMISSION).alias("s")).where("s IS NOT NULL")
+    head = [F.col("cik"), F.col("s.name").alias("name"), F.get("s.tickers", F.lit(0)).alias("ticker")]
+    recent = parsed.select(*head, *_filing_arrays(F.col("s.filings.recent")))
+    files = parsed.select(*head, F.explode("s.filings.files").alias("f")).withColumn("file", F.col("f.name")).drop("f")
+    paged = files.join(older.select("file", F.from_json("body", _COLUMNS).alias("c")).where("c IS NOT NULL"), "file")
+    return filings(recent.unionByName(paged.select("cik", "name", "ticker", *_filing_arrays(F.col("c")))))
+
+
 def of_year(df: DataFrame, year: Column) -> DataFrame:
     return df.where(F.startswith(F.col("report_date"), year.cast("string")))
 
@@ -140,7 +184,7 @@ def of_year(df: DataFrame, year: Column) -> DataFrame:
 class OfflinePages(DataSource):
     """Fetched pages as a table (url, body). This reader serves a local folder of files, for tests and replays; a fetching one fits the same place.
 
-    Options: path, and rate, the most pages a second that a fetching reader may take."""
+    Option: path. FetchedPages (sources/fetch.py) is the fetching one."""
 
     @classmethod
     def name(cls) -> str:

@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from filigrane.operators.matrix import not_yet
+from filigrane.sources.tables import exists
+
+DONE_PARTS = 64
 
 
 def ingest_new(spark: SparkSession, source: str, schema: str, done_path: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Work on rows whose key is not in the table at done_path, and append the results there. All available files are taken, then the query ends.
 
-    A repeated micro-batch finds its keys done and adds nothing, so a restart is safe."""
+    The table is partitioned by a hash of the key, and a micro-batch reads the keys of its own partitions only. A repeated
+    micro-batch finds its keys done and adds nothing, so a restart is safe. work keeps the key column."""
 
     def batch(rows: DataFrame, _: int) -> None:
+        place = F.pmod(F.xxhash64(key), F.lit(DONE_PARTS)).cast("int")
         fresh = rows.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(done_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
+        if exists(spark, done_path):
+            parts = [r.p for r in fresh.select(place.alias("p")).distinct().collect()]  # at most DONE_PARTS
+            done = spark.read.parquet(done_path).where(F.col("done_part").isin(*parts) if parts else F.lit(False))
             fresh = not_yet(fresh, done, [key])
-        work(fresh).write.mode("append").parquet(done_path)
+        work(fresh).withColumn("done_part", place).write.mode("append").partitionBy("done_part").parquet(done_path)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -18,7 +18,7 @@ def test_sentences_and_categories(spark):
     one = spark.range(1)
     assert one.select(text.sentences(F.lit("One two.  Three! fourFive? "))).first()[0] == ["One two.", "Three!", "four", "Five?"]
     assert documents.split_sentences("One two.  Three! fourFive? ") == ["One two.", "Three!", "four", "Five?"]
-    names = [one.select(text.first_category(F.lit(s))).first()[0] for s in ("an interest rate swap", "currency forwards", "crude oil futures", "stock options", "derivative contracts", "nothing")]
+    names = [one.select(text.first_category(F.lit(s))).first()[0] for s in ("an interest rate swap", "currency forwards", "crude oil futures", "equity options", "derivative contracts", "nothing")]
     assert names == ["ir", "fx", "cp", "eq", "gen", None]
 
 
