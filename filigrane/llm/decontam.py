@@ -17,8 +17,9 @@ document, so a passage that many documents share burdens none.
 Edge cases: a null text has no words; an item without words has no window; an
 empty benchmark leaves every document clean. Documents are told apart by id and
 text together, null ids included, so repeated rows give repeated results and
-rows of one id with different texts stay apart. Only id and text columns are
-read.
+rows of one id with different texts stay apart. Texts of any length are read whole.
+Of equally rare words the first in the window is joined. Only id and text columns
+are read, whatever the others are called; an empty table gives an empty one.
 """
 
 from __future__ import annotations

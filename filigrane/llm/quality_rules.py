@@ -6,8 +6,11 @@ lines, the measures follow from the two arrays, and the verdict is one
 projection made from ``THRESHOLDS``.
 
 Edge cases: a null or empty text has no words, zero measures and fails the base
-rule (fewer than 20 words). Only the id and text columns are read, so other
-columns of the input never clash. Repeated rows give repeated results.
+rule (fewer than 20 words). Texts of any length are measured whole, in one row.
+Equal lines and windows count by place, the first of lines not at all, of windows
+too, so ties don't arise. Only the id and text columns are read, so other columns
+of the input never clash. Repeated rows give repeated results; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
