@@ -1,8 +1,8 @@
 """Connected components of an undirected graph held as rows of edges.
 
-Alternating large-star and small-star passes (Kiveris et al., 2014), stored every
-PASSES of them. A pass
-groups each node's neighbours by a minimum, which combines before the shuffle,
+Alternating large-star and small-star passes (Kiveris et al., 2014), stored after
+each pair: a pass reads its edges more than once, so plans of several would
+double. A pass groups each node's neighbours by a minimum, which combines before the shuffle,
 so a node with very many neighbours costs one row a task. No node's neighbours
 are ever gathered into a list.
 """
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from filigrane.llm.state import cut
 
-PASSES = 2  # between two cuts of the lineage
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
@@ -38,10 +36,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("u != v").select("u", "v").distinct())
     sign = None
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
-        for _ in range(PASSES):
-            edges = _star(_star(edges, True), False)
-        edges = cut(edges)
+        edges = cut(_star(_star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break

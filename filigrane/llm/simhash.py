@@ -19,8 +19,8 @@ Large cells: nobody lists a cell's pairs. Each cell first links its members to
 one pivot, which joins most of a group of near copies in linear work; cells
 whose members then share a component are done. In the rest, only members
 outside the cell's largest component are compared, and only with members of
-other components; their join is salted, so that a large cell is many keys. A
-component's pairs are merged to one row a pair of components. No link between
+other components; in cells of over ``HOT_CELL`` members their join is salted, so that
+such a cell is many keys. A component's pairs are merged to one row a pair of components. No link between
 different components is left out, so components are exactly those of the full
 link graph.
 
@@ -56,7 +56,7 @@ MAX_BITS = 3
 BLOCKS = (6, 8, 12, 16)
 SEGMENT_BITS = 1.415  # -log2 of the chance that a two-bit segment has the same count in two random fingerprints
 PIVOT_ROUNDS = 2
-SALTS = 16
+HOT_CELL, SALTS = 50_000, 16
 _AT_ONCE = 1 << 15
 _ODD = 0x5555555555555555
 
@@ -146,18 +146,29 @@ def link_classes(fps: DataFrame, max_bits: int = MAX_BITS, pivot_rounds: int = P
         rooted = _labelled(members.select("g", "cell", "fp"), labels)
         split = rooted.groupBy("g", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("g", "cell")
         members = cut(rooted.join(split, ["g", "cell"], "left_semi"))
+        if members.isEmpty():
+            return labels
     if labels is None:
         members = _labelled(members, fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")))
     sizes = members.groupBy("g", "cell", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("g", "cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    few = members.join(main, ["g", "cell"]).where("root != main").select("g", "cell", "fp", "root")
-    a = few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).alias("a")
-    b = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.root") != F.col("b.root")) & near(F.col("a.fp"), F.col("b.fp"), max_bits))
-    links = cut(pairs.select(F.least("a.root", "b.root").alias("u"), F.greatest("a.root", "b.root").alias("v")).distinct())
+    cells = sizes.groupBy("g", "cell").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"))
+    few = cut(members.join(cells, ["g", "cell"]).where("root != main").select("g", "cell", "fp", "root", "size"))
+    hot = few.where(F.col("size") > HOT_CELL)
+    salted = members.join(hot.select("g", "cell").distinct(), ["g", "cell"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    pairs = _pairs(few.where(F.col("size") <= HOT_CELL), members, ["g", "cell"], max_bits).union(_pairs(hot.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), salted, ["g", "cell", "salt"], max_bits))
+    links = cut(pairs.distinct())
     return cut(_merged(labels, links))
 
 
+def _pairs(few: DataFrame, members: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
+    """(u, v): components of near fingerprints that share their keys."""
+    a, b = few.alias("a"), members.alias("b")
+    same = (F.col("a.root") != F.col("b.root")) & near(F.col("a.fp"), F.col("b.fp"), max_bits)
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, same).select(F.least("a.root", "b.root").alias("u"), F.greatest("a.root", "b.root").alias("v"))
+
+
 def _rooted(seen: DataFrame, max_bits: int) -> DataFrame:
     """(fp, low, root): each fingerprint of seen (id, fp), its least id and its component, stored."""
     least = cut(seen.groupBy("fp").agg(F.min("id").alias("low")))
