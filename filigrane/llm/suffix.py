@@ -601,3 +601,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sto
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """One row a document: id_col and what is left of its text; characters cut in part become U+FFFD."""
     return _plan(docs, id_col, text_col, _finish_text, "id long, text string", stored).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+
+
+#: The same digests in DuckDB SQL, for ids that are unique: every window by itself, on texts in hex.
+ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+edges AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM edges) GROUP BY doc_id, i),
+gaps AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, b FROM runs),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' ORDER BY a) AS front FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

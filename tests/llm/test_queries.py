@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 
 from filigrane.llm import queries
@@ -20,7 +21,7 @@ COLUMNS = {
 
 
 def test_every_operator_is_registered():
-    assert set(queries.queries()) == {*COLUMNS, "pipeline"}
+    assert set(queries.queries()) == {*COLUMNS, "pipeline", "secrets_base", "pii_base"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -30,3 +31,15 @@ def test_one_row_for_each_input_row(spark, name):
     got = queries.queries()[name](spark, SF)
     assert got.columns == COLUMNS[name]
     assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    got = queries.queries()[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
