@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import random
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -165,29 +165,29 @@ class Expander:
 
     def __init__(self, sentences: list[str], tax: Taxonomy = FINANCE, window: Window = Window()) -> None:
         patterns = [(name, re.compile(p)) for name, p in tax.categories]
-        stems = tuple(w.lower() for w in tax.allowed)
+        self.stems = re.compile("|".join(re.escape(w.lower()) for w in tax.allowed)) if tax.allowed else None
         self.sentences, self.tax, self.window = sentences, tax, window
         self.category = [next((n for n, p in patterns if p.search(s)), None) for s in sentences]
-        self.open = [any(w in s.lower() for w in stems) for s in sentences]
         self.used: Counter[int] = Counter()
 
-    def joined(self, parts: list[str]) -> str:
-        if not self.window.compat:
-            parts = [p.rstrip(".") for p in parts]
-        return ". ".join(parts).strip() + "."
-
     def admits(self, i: int, category: str) -> bool:
         if not 0 <= i < len(self.sentences) or self.used[i] >= self.window.uses:
             return False
         own = self.category[i]
-        return own in (None, category, self.tax.generic) or self.open[i]
+        return own in (None, category, self.tax.generic) or self.stems is not None and bool(self.stems.search(self.sentences[i].lower()))
+
+    def size(self, inner: int, first: str, last: str) -> int:
+        """Length of joined parts of so many characters, joints included: white space at either end doesn't count, the last stop does."""
+        return inner - (len(first) - len(first.lstrip())) - (len(last) - len(last.rstrip())) + 1
 
     def grow(self, seed: int, category: str) -> tuple[str, set[int]]:
         """The passage around a seed and the sentences in it."""
-        parts, members = [self.sentences[seed]], {seed}
+        own = (lambda t: t) if self.window.compat else (lambda t: t.rstrip("."))
+        parts, members = deque([own(self.sentences[seed])]), {seed}
+        inner = len(parts[0])
         reach = 2 if self.window.compat else 1
         frontier: dict[int, int | None] = {-1: seed - reach, 1: seed + reach}
-        while len(self.joined(parts)) < self.window.least and any(v is not None for v in frontier.values()):
+        while self.size(inner, parts[0], parts[-1]) < self.window.least and any(v is not None for v in frontier.values()):
             for side in (-1, 1):
                 at = frontier[side]
                 if at is None:
@@ -196,13 +196,18 @@ class Expander:
                     frontier[side] = None
                     continue
                 text = self.sentences[at]
-                over = len(self.joined([text, *parts])) - self.window.most
+                over = self.size(inner + 2 + len(own(text)), own(text), parts[-1]) - self.window.most
                 if over > 0:
                     text = text[over:] if side < 0 else text[:-over]
-                parts = [text, *parts] if side < 0 else [*parts, text]
+                text = own(text)
+                inner += 2 + len(text)
+                if side < 0:
+                    parts.appendleft(text)
+                else:
+                    parts.append(text)
                 members.add(at)
                 frontier[side] = None if over > 0 else at + side
-        return self.joined(parts), members
+        return ". ".join(parts).strip() + ".", members
 
     def run(self) -> dict[str, list[str]]:
         """Passages by category: specific categories first, in text order, then the generic one; equal passages of a category once."""

@@ -7,6 +7,8 @@ priority, so no row is exploded or shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,77 +56,70 @@ def label_counts(df: DataFrame, keys: list[str], threshold: float = COUNT_THRESH
     return df.groupBy(*keys).agg(F.count("*").alias("n_sentences"), *[F.count_if(F.coalesce(F.col(k), F.lit(0.0)) >= threshold).alias(f"n_{k}") for k in tax.labels])
 
 
-def _best_specific(score, threshold: float, tax: Taxonomy) -> Column:
-    """The specific type of the largest score, the first of ties, if it reaches its share of the threshold; else the generic type."""
-    top = F.greatest(*[score(t) for t in tax.specific])
-    out = F.lit(tax.generic)
-    for t in reversed(tax.specific):
-        out = F.when((score(t) == top) & (top >= threshold * RESOLVE_SHARE) & (top > 0), t).otherwise(out)
-    return out
-
+def _best_specific(score: Callable[[str], str], threshold: float, tax: Taxonomy) -> str:
+    """SQL for the specific type of the largest score, the first of ties, if it reaches its share of the threshold; else the generic type."""
+    top = f"greatest({', '.join(map(score, tax.specific))})"
+    whens = " ".join(f"WHEN {score(t)} = {top} THEN '{t}'" for t in tax.specific)
+    return f"CASE WHEN {top} < {threshold * RESOLVE_SHARE}D OR {top} <= 0 THEN '{tax.generic}' {whens} ELSE '{tax.generic}' END"
 
-def candidates(tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD, per_type: bool = False) -> Column:
-    """All labels of a prediction in order of priority, each once: array of (rank, score, id).
 
-    per_type, as notebooks rank: a type's context counts beside other types' use, speculative context has a rank of its own,
-    and penalties of the resolved type hold for use without a time, speculative use and context with a time, too."""
-    p = lambda k: F.coalesce(F.col(k), F.lit(0.0))
-    on = lambda k: p(k) >= threshold
-    any_use = F.lit(False)
-    any_time = F.lit(False)
-    for t in tax.types:
-        any_use = any_use | on(f"{t}_use")
-    for t in tax.times:
-        any_time = any_time | on(t)
+def _candidates_sql(tax: Taxonomy, threshold: float, per_type: bool) -> str:
+    """SQL for the candidates, from the columns _by_use and _by_context. One text is built, not a tree of calls: they are a hundred conditions."""
+    p = lambda k: f"coalesce(`{k}`, 0.0D)"
+    on = lambda k: f"{p(k)} >= {threshold}D"
+    none = lambda keys: " AND ".join(f"{p(k)} < {threshold}D" for k in keys)
+    no_use, no_time = none(f"{t}_use" for t in tax.types), none(tax.times)
     now, spec = tax.times[0], tax.times[-1]
-    by_use = _best_specific(lambda t: p(t) + p(f"{t}_use"), threshold, tax)
-    by_context = _best_specific(p, threshold, tax)
 
-    def chosen(t: str, resolved: Column, value) -> Column:
+    def chosen(t: str, resolved: str, value: Callable[[str], object]) -> str:
         """A constant of the type that t resolves to."""
-        out = F.lit(value(t))
-        if t == tax.generic:
-            for s in tax.specific:
-                out = F.when(resolved == s, F.lit(value(s))).otherwise(out)
-        return out
+        if t != tax.generic:
+            return str(value(t))
+        return f"CASE {resolved} " + " ".join(f"WHEN '{s}' THEN {value(s)}" for s in tax.specific) + f" ELSE {value(t)} END"
 
-    found: list[Column] = []
+    found: list[str] = []
 
-    def add(condition: Column, rank: Column | float, score: Column, label: Column) -> None:
-        order = F.lit(len(found))
-        one = F.struct(F.lit(rank).cast("double").alias("rank") if not isinstance(rank, Column) else rank.cast("double").alias("rank"), (-score).alias("minus"), order.alias("order"), label.alias("id"))
-        found.append(F.when(condition, one))
+    def add(condition: str, rank: str, score: str, label: str) -> None:
+        found.append(f"CASE WHEN {condition} THEN named_struct('rank', CAST({rank} AS DOUBLE), 'minus', -({score}), 'order', {len(found)}, 'id', {label}) END")
 
     for t in tax.types:
-        use, context = f"{t}_use", t
-        penalty = chosen(t, by_use, lambda s: float(tax.penalised.get(s, 0.0))) if per_type else F.lit(0.0)
+        use = f"{t}_use"
+        penalty = chosen(t, "_by_use", lambda s: f"{float(tax.penalised.get(s, 0.0))}D") if per_type else "0.0D"
         for k, time in enumerate(tax.times):
-            label = chosen(t, by_use, lambda s, k=k: tax.usage_ids[s][k])
-            add(on(use) & on(time), 1.0 + k + (penalty if time == spec else F.lit(0.0)), p(use) * p(time), label)
+            label = chosen(t, "_by_use", lambda s, k=k: tax.usage_ids[s][k])
+            add(f"{on(use)} AND {on(time)}", f"{1 + k} + {penalty}" if time == spec else str(1 + k), f"{p(use)} * {p(time)}", label)
             if per_type:
-                add(~on(use) & on(context) & on(time), (6.0 if time == spec else 5.0) + penalty, p(context) * p(time), label)
+                add(f"{none([use])} AND {on(t)} AND {on(time)}", f"{6 if time == spec else 5} + {penalty}", f"{p(t)} * {p(time)}", label)
             elif time != spec:  # with spec active a context-only mention isn't ranked here
-                add(~any_use & ~on(spec) & on(context) & on(time), 5, p(context) * p(time), label)
-        add(on(use) & ~any_time, 1.5 + penalty, p(use), chosen(t, by_use, lambda s: tax.usage_ids[s][0]))
+                add(f"{no_use} AND {none([spec])} AND {on(t)} AND {on(time)}", "5", f"{p(t)} * {p(time)}", label)
+        add(f"{on(use)} AND {no_time}", f"1.5D + {penalty}", p(use), chosen(t, "_by_use", lambda s: tax.usage_ids[s][0]))
     for x in tax.extras:
-        add(on(x) & on(now), 4, p(x) * p(now), F.lit(tax.extra_ids[x][0]))
-        add(on(x) & ~on(now), 7, p(x), F.lit(tax.extra_ids[x][1]))
+        add(f"{on(x)} AND {on(now)}", "4", f"{p(x)} * {p(now)}", str(tax.extra_ids[x][0]))
+        add(f"{on(x)} AND {none([now])}", "7", p(x), str(tax.extra_ids[x][1]))
     for t in tax.types:
-        rank = F.lit(8.0) + chosen(t, by_context, lambda s: float(tax.penalised.get(s, 0.0)))
-        add(~any_use & on(t), rank, p(t), chosen(t, by_context, lambda s: tax.context_ids[s]))
-    add(on(tax.irrelevant), 9, p(tax.irrelevant), F.lit(tax.irrelevant_id))
-    return F.array_sort(F.array_compact(F.array(*found)))
+        rank = chosen(t, "_by_context", lambda s: f"{8.0 + float(tax.penalised.get(s, 0.0))}D")
+        add(f"{no_use} AND {on(t)}", rank, p(t), chosen(t, "_by_context", lambda s: tax.context_ids[s]))
+    add(on(tax.irrelevant), "9", p(tax.irrelevant), str(tax.irrelevant_id))
+    return f"array_sort(array_compact(array({', '.join(found)})))"
 
 
 def resolve(df: DataFrame, tax: Taxonomy = FINANCE, threshold: float = LABEL_THRESHOLD, per_type: bool = False) -> DataFrame:
-    """df with label_ids and label_scores (arrays, best first, each id once), primary_id, primary_score, tier and active labels."""
-    d = df.withColumn("_all", candidates(tax, threshold, per_type)).withColumn("_ids", F.transform("_all", lambda x: x["id"]))
-    d = d.withColumn("_own", F.filter("_all", lambda x, i: F.array_position("_ids", x["id"]) == i + 1))
-    none = F.size("_own") == 0
-    d = d.withColumn("label_ids", F.when(none, F.array(F.lit(tax.irrelevant_id))).otherwise(F.transform("_own", lambda x: x["id"])))
-    d = d.withColumn("label_scores", F.when(none, F.array(F.lit(0.0))).otherwise(F.transform("_own", lambda x: -x["minus"])))
-    d = d.withColumns({"primary_id": F.element_at("label_ids", 1), "primary_score": F.element_at("label_scores", 1)})
-    return d.withColumn("tier", tier(F.col("primary_score"))).drop("_all", "_ids", "_own")
+    """df with label_ids and label_scores (arrays, best first, each id once), primary_id, primary_score and tier.
+
+    Candidates are structs of (rank, -score, order, id), whose natural order is the priority. per_type, as notebooks rank: a type's context
+    counts beside other types' use, speculative context has a rank of its own, and penalties of the resolved type hold for
+    use without a time, speculative use and context with a time, too."""
+    p = lambda k: f"coalesce(`{k}`, 0.0D)"
+    by_use = _best_specific(lambda t: f"{p(t)} + {p(f'{t}_use')}", threshold, tax)
+    by_context = _best_specific(p, threshold, tax)
+    d = df.selectExpr("*", f"{by_use} AS _by_use", f"{by_context} AS _by_context")
+    d = d.selectExpr(*[f"`{c}`" for c in df.columns], f"{_candidates_sql(tax, threshold, per_type)} AS _all")
+    d = d.selectExpr(*[f"`{c}`" for c in df.columns], "filter(_all, (x, i) -> array_position(transform(_all, y -> y.id), x.id) = i + 1) AS _own")
+    ids = f"CASE WHEN size(_own) = 0 THEN array({tax.irrelevant_id}) ELSE transform(_own, x -> x.id) END AS label_ids"
+    scores = "CASE WHEN size(_own) = 0 THEN array(0.0D) ELSE transform(_own, x -> -x.minus) END AS label_scores"
+    d = d.selectExpr(*[f"`{c}`" for c in df.columns], ids, scores)
+    d = d.selectExpr("*", "element_at(label_ids, 1) AS primary_id", "element_at(label_scores, 1) AS primary_score")
+    return d.withColumn("tier", tier(F.col("primary_score")))
 
 
 def tier(score: Column) -> Column:
@@ -133,7 +128,8 @@ def tier(score: Column) -> Column:
 
 def name_of(label_id: Column, tax: Taxonomy = FINANCE) -> Column:
     """The name of an id, "Unknown" for one that the taxonomy lacks."""
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in tax.names.items() for x in kv])[label_id], F.lit("Unknown"))
+    names = ", ".join(f"{i}, '{name}'" for i, name in tax.names.items())
+    return F.coalesce(F.expr(f"map({names})")[label_id], F.lit("Unknown"))
 
 
 def category_of(name: Column) -> Column:

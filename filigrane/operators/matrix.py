@@ -21,12 +21,12 @@ def unique_firms(wide: DataFrame, labels: list[str], firm: str = "cik", year: st
 
 def co_occurrence(wide: DataFrame, labels: list[str]) -> DataFrame:
     """(a, b, n): rows in which both labels are above 0; n of (a, a) is the support. One aggregation, half of the square."""
-    on = {k: F.coalesce(F.col(k) > 0, F.lit(False)) for k in labels}
     half = [(a, b) for i, a in enumerate(labels) for b in labels[i:]]
-    one = wide.agg(F.array(*[F.count_if(on[a] & on[b]) for a, b in half]).alias("n"))
+    on = lambda k: f"coalesce(CAST(`{k}` AS DOUBLE) > 0, false)"
+    one = wide.agg(F.expr(f"array({', '.join(f'count_if({on(a)} AND {on(b)})' for a, b in half)})").alias("n"))
     place = {p: i for i, p in enumerate(half)}
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("n", F.lit(place.get((a, b), place.get((b, a))))).alias("n")) for a, b in product(labels, labels)]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    cells = ", ".join(f"named_struct('a', '{a}', 'b', '{b}', 'n', n[{place.get((a, b), place.get((b, a)))}])" for a, b in product(labels, labels))
+    return one.selectExpr(f"inline(array({cells}))")
 
 
 def type_cross(wide: DataFrame, groups: dict[str, list[str]], firm: str = "cik") -> DataFrame:

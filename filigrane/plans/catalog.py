@@ -741,7 +741,12 @@ def legacy_windows(spark, sf_dir):
     return documents.per_document(_documents(spark, sf_dir), "doc_id", "text", make, "matches")
 
 
-@query()
+#: Greedy pieces of at most 600 characters, then pieces under 15 joined to the one before, both as folds over texts with a sign between pieces.
+_PACKED = f"CASE WHEN len({_SENTENCES}) = 0 THEN '' ELSE list_reduce({_SENTENCES}, lambda a, x: CASE WHEN length(regexp_extract(a, '[^' || chr(30) || ']*$')) + length(x) + 1 <= 600 THEN a || ' ' || x ELSE a || chr(30) || x END) END"
+_MERGED = "CASE WHEN packed = '' THEN '' ELSE list_reduce(string_split(packed, chr(30)), lambda a, x: CASE WHEN length(x) < 15 THEN a || ' ' || x ELSE a || chr(30) || x END) END"
+
+
+@query(f"WITH p AS (SELECT doc_id, {_PACKED} AS packed FROM documents), m AS (SELECT doc_id, {_MERGED} AS merged FROM p) SELECT doc_id, CASE WHEN merged = '' THEN 0 ELSE len(string_split(merged, chr(30))) END AS n, sha256(replace(merged, chr(30), '|')) AS digest FROM m")
 def pack_sentences(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.merge_short(text.pack_sentences(text.sentences(F.col("text")), 600)).alias("parts")).select("doc_id", F.size("parts").alias("n"), F.sha2(F.array_join("parts", "|"), 256).alias("digest"))
 

@@ -1,3 +1,7 @@
+import collections
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from filigrane.functions import documents, text
@@ -71,3 +75,52 @@ def test_legacy_windows():
     got = documents.legacy_windows(t, 2020, ["license"], ["warranty"])
     assert len(got) == 1 and "license" in got[0] and 250 < len(got[0]) <= 2000
     assert documents.legacy_windows(t, 2020, ["license"], ["license"]) == []
+
+
+class PlainExpander:
+    """Context expansion that joins its parts anew at each step."""
+
+    def __init__(self, sentences, tax, window):
+        self.s, self.tax, self.w, self.used = sentences, tax, window, collections.Counter()
+        self.category = [next((n for n, p in tax.categories if re.search(p, s)), None) for s in sentences]
+
+    def joined(self, parts):
+        return ". ".join(p if self.w.compat else p.rstrip(".") for p in parts).strip() + "."
+
+    def admits(self, i, category):
+        if not 0 <= i < len(self.s) or self.used[i] >= self.w.uses:
+            return False
+        return self.category[i] in (None, category, self.tax.generic) or any(x in self.s[i].lower() for x in self.tax.allowed)
+
+    def grow(self, seed, category):
+        parts, members, reach = [self.s[seed]], {seed}, 2 if self.w.compat else 1
+        front = {-1: seed - reach, 1: seed + reach}
+        while len(self.joined(parts)) < self.w.least and any(v is not None for v in front.values()):
+            for side in (-1, 1):
+                at = front[side]
+                if at is None or not self.admits(at, category):
+                    front[side] = None
+                    continue
+                t = self.s[at]
+                over = len(self.joined([t, *parts])) - self.w.most
+                if over > 0:
+                    t = t[over:] if side < 0 else t[:-over]
+                parts = [t, *parts] if side < 0 else [*parts, t]
+                members.add(at)
+                front[side] = None if over > 0 else at + side
+        return self.joined(parts), members
+
+
+def test_expansion_equals_the_plain_version():
+    rng = random.Random(5)
+    tax = Taxonomy(**{**TOY.__dict__, "allowed": ("rate", "cost")})
+    for _ in range(400):
+        sentences = [" ".join(rng.choice(["swap", "forward", "hedge", "rate", "cost", "land", "x.", "was", "sold"]) for _ in range(rng.randint(1, 9))) + rng.choice([".", "", "!", ".."]) for _ in range(rng.randint(1, 14))]
+        for compat in (True, False):
+            w = documents.Window(least=rng.choice([40, 90, 200]), most=rng.choice([60, 100, 220]), compat=compat)
+            a, b = documents.Expander(sentences, tax, w), PlainExpander(sentences, tax, w)
+            for i in range(len(sentences)):
+                got, want = a.grow(i, "ir"), b.grow(i, "ir")
+                assert got == want
+                a.used.update(got[1])
+                b.used.update(want[1])
