@@ -63,7 +63,7 @@ from filigrane.llm.state import cut
 GROUP_PAGES = 256  # pages whose counts are added up before they leave Python; steers load only
 BROADCAST_CHARS = 32_000_000
 MIN_PAGES, CONSTANT_SHARE = 4, 0.6
-HIDDEN_SHARE = 0.9
+HIDDEN_SHARE, ALL_DOUBTED = 0.9, 0.98
 LEAST_PART, LINKED = 0.4, 0.5
 MAX_DEPTH = 48  # of the shapes that are aligned; text is taken from any depth
 TABLE_CELLS = 250_000
@@ -415,10 +415,17 @@ def votes(usual: str, own: str, said: str) -> dict[tuple[str, str], list[float]]
 class Template:
     """What all pages of a host tell: fixed texts, slots that most pages mark, and which slots hold content.
 
-    kinds: 1 for regions of content, 0 for what stands beside them, -1 for navigation and doubted places; a slot without one follows what holds it."""
+    kinds: 1 for regions of content, 0 for what stands beside them, -1 for navigation and doubted places; a slot without one follows what holds it.
+    trusted: slots whose class and id words are overruled, with all that they hold."""
 
-    def __init__(self, fixed: Iterable[tuple[str, str]], marked: Iterable[str], kinds: dict[str, int]) -> None:
-        self.fixed, self.marked, self.kinds = frozenset(map(tuple, fixed)), frozenset(marked), kinds
+    def __init__(self, fixed: Iterable[tuple[str, str]], marked: Iterable[str], kinds: dict[str, int], trusted: Iterable[str]) -> None:
+        self.fixed, self.marked, self.kinds, self.trusted = frozenset(map(tuple, fixed)), frozenset(marked), kinds, frozenset(trusted)
+
+    def trusts(self, at: str | None) -> bool:
+        """Whether a slot, or what holds it, is known to hold content in spite of class and id words."""
+        while at and at not in self.trusted:
+            at = at.rpartition(".")[0]
+        return at is not None and at in self.trusted
 
     def kind(self, at: str | None, slot: str, place: dict[str, str]) -> int | None:
         """What a page's slot holds, by its own place or the nearest one that holds it; None where nothing is known."""
@@ -446,11 +453,11 @@ def induce(usual: str, counts: dict[tuple[str, str], list[float]]) -> str:
     for at, what in fixed:
         for k in range(3):
             varying[at][k] -= counts[at, what][k + 1]
-    return _written([fixed, sorted(at for at, what in often if what == MARKED), _regions(_read_shape(usual), varying)])
+    return _written([fixed, sorted(at for at, what in often if what == MARKED), *_regions(_read_shape(usual), varying)])
 
 
-def _regions(usual: tuple, varying: dict[str, list[float]]) -> dict[str, int]:
-    """Kinds of the slots of a shape, from the varying text, links and doubted text of each."""
+def _regions(usual: tuple, varying: dict[str, list[float]]) -> tuple[dict[str, int], list[str]]:
+    """Kinds of the slots of a shape and its trusted slots, from the varying text, links and doubted text of each."""
     sums: dict[str, list[float]] = {}
     kinds: dict[str, int] = {}
 
@@ -465,9 +472,12 @@ def _regions(usual: tuple, varying: dict[str, list[float]]) -> dict[str, int]:
     total = add(usual, "")
     plain = {at: max(0.0, x[0] - x[1]) for at, x in sums.items()}
 
+    trusted = sorted(at for at, (text, _, doubted) in sums.items() if doubted >= ALL_DOUBTED * text and doubted >= HIDDEN_SHARE * total[0] > 0)
+    of_trusted = Template((), (), {}, trusted).trusts
+
     def refused(at: str) -> bool:
         text, link, doubted = sums[at]
-        return text > 0 and (link > LINKED * text or doubted > 0.5 * text and doubted < HIDDEN_SHARE * total[0])
+        return text > 0 and (link > LINKED * text or doubted > 0.5 * text and not of_trusted(at))
 
     def inside(node: tuple, at: str) -> None:
         for i, kid in enumerate(node[1]):
@@ -496,7 +506,7 @@ def _regions(usual: tuple, varying: dict[str, list[float]]) -> dict[str, int]:
 
     if total[0] > 0:
         judge(usual, "")
-    return kinds
+    return kinds, trusted
 
 
 def decide(html: str | None, usual: str | None, template: Template | None) -> tuple[str, list[str]]:
@@ -506,7 +516,7 @@ def decide(html: str | None, usual: str | None, template: Template | None) -> tu
     takes something away; "hidden" for what class and id words hide; "" for a page without text."""
     own, found = _dom(html)
     place = _places(usual, own) if usual and template else {}
-    template = template or Template((), (), {})
+    template = template or Template((), (), {}, ())
     size = lambda rows: sum(len(x[0]) for x in rows)
     wanted, hidden = [], []  # text, kind, marked, varying, in a slot that most pages mark
     for slot, text, drop, article, _ in found:
@@ -516,7 +526,7 @@ def decide(html: str | None, usual: str | None, template: Template | None) -> tu
         at = place.get(path)
         kind = template.kind(at, path, place)
         row = (text, kind, article, at is None or (at, _hash(text)) not in template.fixed, at in template.marked)
-        (hidden if drop and kind != 1 else wanted).append(row)
+        (hidden if drop and not (kind == 1 and template.trusts(at)) else wanted).append(row)
     varying = [x for x in wanted if x[3]]
     region = [x for x in varying if x[1] == 1]
     marked = [x for x in varying if x[2]]

@@ -192,3 +192,16 @@ def test_matching_equals_brute_force():
     for _ in range(200):
         a, b = tree(3), tree(3)
         assert wrapper.matched(a, b) == brute(a, b)
+
+
+def test_hints_hold_where_induction_is_silent():
+    """Comments that few pages have stand in no slot of the usual shape; a whole article under a doubtful name is the host's habit."""
+    rng = random.Random(4)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    story = [[words(20) for _ in range(3)] for _ in range(20)]
+    body = lambda k, more="": "<div><h1>" + story[k][0] + "</h1>" + "".join(f"<p>{p}</p>" for p in story[k][1:]) + more + "</div>"
+    told = lambda k: "\n".join(story[k])
+    comments = lambda k: f'<div class="comments"><div><p>{words(9)}</p></div></div>'
+    assert wrapper.extract([body(k, comments(k) if k % 7 == 3 else "") for k in range(20)]) == [told(k) for k in range(20)]
+    odd = lambda k: f'<div class="sidebar">{body(k)}</div><div class="ad">{words(4)}</div>'
+    assert wrapper.extract([odd(k) for k in range(20)]) == [told(k) for k in range(20)]
