@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filigrane.functions import text
 from filigrane.functions.taxonomy import FINANCE, WORDINGS, Wording
-from filigrane.operators import report
+from filigrane.operators import report, sample
 from filigrane.operators.registry import Registry, Sheet
 from filigrane.plans.catalog import _FILINGS_SQL, filing_columns, query
 from filigrane.plans.demo import table
@@ -140,3 +140,21 @@ def unmarked_documents(spark, sf_dir):
 @query("SELECT conv_id, turn, coalesce(nullif(split_part(text, ', ', 1), ''), 'Irrelevant') AS label FROM conversations")
 def first_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", report.first_label(F.col("text")).alias("label"))
+
+
+@query("SELECT s_suppkey, array_to_string(list_transform(string_split(lower(s_name || '. NEXT One. and ' || s_name), '. '), lambda s: upper(substr(s, 1, 1)) || substr(s, 2)), '. ') AS said FROM supplier")
+def sentence_cased(spark, sf_dir):
+    said = F.concat("s_name", F.lit(". NEXT One. and "), "s_name")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.sentence_case(said).alias("said"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT contains(lower(coalesce(text, '')), 'license') ORDER BY md5('42-' || doc_id), doc_id LIMIT 40")
+def non_match_sample(spark, sf_dir):
+    """The feature is a sample of a fixed size."""
+    return sample.non_matches(table(spark, sf_dir, "documents"), F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("license")), "doc_id", 40).select("doc_id")
+
+
+@query("SELECT c_name, c_custkey, c_acctbal, c_mktsegment, c_nationkey FROM customer")
+def ordered_columns(spark, sf_dir):
+    """Named columns first, then the others by name."""
+    return report.priority_columns(table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name", "c_acctbal"), ["c_name", "c_custkey", "missing"])
