@@ -8,7 +8,9 @@ documents or more are tested against the share of toxic weight (a Chernoff bound
 of the binomial tail); those that pass at a false discovery rate of ``FALSE_RATE``
 over all terms of the toxic documents make the model. A term's score is its
 log-odds between the classes with a Dirichlet prior, whose shape is the term's
-share in all documents of the corpus, counted in a pass over all of them.
+share in all documents of the corpus, counted in a pass over all of them. With many
+labels very small log-odds are significant, too, such as those of a language's
+common words; how large they must be is chosen among ``BARS`` by the loss out of sample.
 
 Scoring: a document is a sequence of token scores: the log-odds of the model's
 most significant term for the token, and the log-odds of a token outside the model
@@ -19,7 +21,7 @@ Karlin and Altschul the sum of the r best normalised segments has a known tail;
 document's evidence is the best of it over r from one to all its segments.
 Evidence becomes a probability by a logistic curve.
 
-K and the curve are fitted out of sample: training documents fall in ``FOLDS``
+K, the curve and the bar are fitted out of sample: training documents fall in ``FOLDS``
 by a hash of their text (copies together) and each is measured by the terms
 learned from the other folds.
 
@@ -50,6 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigrane.llm.labels import labelled_sample, remainder
+from filigrane.llm.state import cut
 
 MOD, HELD_OUT = 3, 1
 TRAIN_DOCS = 20_000
@@ -58,6 +61,7 @@ PREFIXES = (4, 5, 6, 7)
 MIN_DOCS = 3
 FALSE_RATE = 0.05
 PRIOR_SHARE = 0.08  # weight of the prior: this share of the labelled documents' weight
+BARS = (0.0, 0.5, 1.0, 2.0, 3.0)  # least log-odds that are tried
 PREDICT_AT = 0.7
 LOW, HIGH, BIN = -20.0, 60.0, 0.25  # of the evidence, for the curve
 FLUSH = 200_000  # terms that a task holds before it hands on their sums
@@ -261,35 +265,47 @@ def evidence(found: Iterable[float], n_tokens: int, constant: float) -> float:
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Logistic slope and offset for (evidence, label, rows), by Newton steps with a weak ridge."""
+    """Logistic slope and offset for (evidence, label, rows), by Newton steps with a weak ridge, halved until they lessen the loss."""
     x = np.array([b[0] for b in bins], float)
     y, n = np.array([b[1] for b in bins], float), np.array([b[2] for b in bins], float)
     w = np.array([1.0, -2.0])
     design = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+    loss = lambda w: float(np.sum(n * (np.logaddexp(0, design @ w) - y * (design @ w))) + 5e-3 * w @ w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
         grad = design.T @ (n * (p - y)) + 1e-2 * w
-        hess = (design * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        hess = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-9 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-10:
+            break
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def _measured(sample: DataFrame, models: list[Model]) -> DataFrame:
-    """(_label, n, hits, scores) of the sample's documents, each by the model of its fold."""
+def _loss(bins: list[tuple[float, int, int]], slope: float, offset: float) -> float:
+    """-ln likelihood of (evidence, label, rows) under a curve."""
+    return math.fsum(n * (float(np.logaddexp(0, slope * x + offset)) - y * (slope * x + offset)) for x, y, n in bins)
+
+
+def _measured(sample: DataFrame, models: list[list[Model]]) -> DataFrame:
+    """(label, n, hits, scores) of the sample's documents: for each of the lists, by its model of the document's fold."""
     shared = sample.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for label, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                model, found = shared.value[fold], words(text.as_py())
-                own = hits(found, model)
-                rows.append((label, max(1, len(found)), len(own), sorted((s for _, _, s in segments(own, model.gap)), reverse=True)))
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+                found, own, scores = words(text.as_py()), [], []
+                for by_fold in shared.value:
+                    own.append(hits(found, by_fold[fold]))
+                    scores.append(sorted((s for _, _, s in segments(own[-1], by_fold[fold].gap)), reverse=True))
+                rows.append((label, max(1, len(found)), [len(h) for h in own], scores))
+            types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["label", "n", "hits", "scores"])
 
-    return sample.select("_label", "_fold", "_text").mapInArrow(run, "label int, n long, hits long, scores array<double>")
+    return sample.select("_label", "_fold", "_text").mapInArrow(run, "label int, n long, hits array<long>, scores array<array<double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
@@ -316,24 +332,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(chosen[0]):
         return Model(offset=level)
     share = corpus_shares(docs, frozenset(names[1 + i] for i in np.unique(np.concatenate(chosen))), text_col)
-    models = []
+    scored = []
     for (a, b), s, at in zip(parts, strong, chosen, strict=True):
         delta = log_odds(a[1:][at], b[1:][at], a[0], b[0], np.array([share[names[1 + i]] for i in at]))
-        models.append(Model({names[1 + i]: (float(d), float(s[i])) for i, d in zip(at, delta, strict=True) if d > 0}))
-    density = {r.kind: r.hits / r.n for r in _measured(sample, models[1:]).groupBy(F.when(F.col("label") == 0, 0).when(F.col("hits") > 0, 1).alias("kind")).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
-    gap = math.log(max(1e-6, 1 - density.get(1, 0.1))) - math.log(max(1e-6, 1 - density.get(0, 0.0)))
-    for m in models:
-        m.gap = min(gap, -1e-3)
-    seen = _measured(sample, models[1:])
-    best = F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0))
-    mean = seen.where("label = 0").agg(F.avg(F.col("n") * F.exp(-best)).alias("m")).first().m
-    model = models[0]
-    model.constant = 1 / max(mean, 1e-9)
-    judge = F.udf(lambda scores, k: evidence(scores, k, 1 / max(mean, 1e-9)), "double")
-    x = F.round(F.least(F.greatest(judge("scores", "n"), F.lit(LOW)), F.lit(HIGH)) / BIN) * BIN
-    bins = seen.groupBy(x.alias("x"), (F.col("label") != 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()
-    model.slope, model.offset = _curve([(r.x, r.y, r.n) for r in sorted(bins)])
-    return model
+        scored.append({names[1 + i]: (float(d), float(s[i])) for i, d in zip(at, delta, strict=True) if d > 0})
+    models = [[Model({t: x for t, x in own.items() if x[0] >= bar}) for own in scored] for bar in BARS]
+    for k, by_fold in enumerate(_gaps(_measured(sample, [m[1:] for m in models]))):
+        for m in models[k]:
+            m.gap = by_fold
+    seen = cut(_measured(sample, [m[1:] for m in models]))
+    clean = seen.where("label = 0")
+    best = lambda k: F.coalesce(F.get(F.get("scores", F.lit(k)), F.lit(0)), F.lit(0.0))
+    means = clean.agg(*[F.avg(F.col("n") * F.exp(-best(k))).alias(f"m{k}") for k in range(len(BARS))]).first()
+    constants = [1 / max(m, 1e-9) for m in means]
+    judge = F.udf(lambda scores, n: [evidence(s, n, c) for s, c in zip(scores, constants, strict=True)], "array<double>")
+    each = seen.select((F.col("label") != 0).cast("int").alias("y"), F.posexplode(judge("scores", "n")).alias("bar", "e"))
+    x = F.round(F.least(F.greatest("e", F.lit(LOW)), F.lit(HIGH)) / BIN) * BIN
+    bins = sorted(each.groupBy("bar", x.alias("x"), "y").agg(F.count("*").alias("n")).collect())
+    fits = []
+    for k in range(len(BARS)):
+        own = [(r.x, r.y, r.n) for r in bins if r.bar == k]
+        curve = _curve(own)
+        fits.append((_loss(own, *curve), k, curve))
+    _, k, curve = min(fits)
+    model = models[k][0]
+    model.constant, (model.slope, model.offset) = constants[k], curve
+    return model if model.terms else Model(offset=level)
+
+
+def _gaps(measured: DataFrame) -> list[float]:
+    """For each list of models the log-odds of a token that isn't in the model, from its share in the toxic documents with hits and in the clean ones."""
+    hits = lambda k: F.get("hits", F.lit(k))
+    cells = []
+    for k in range(len(BARS)):
+        toxic, clean = (F.col("label") != 0) & (hits(k) > 0), F.col("label") == 0
+        cells += [F.sum(F.when(which, hits(k))) / F.sum(F.when(which, F.col("n"))) for which in (toxic, clean)]
+    shares = measured.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first()
+    log = lambda share: math.log(max(1e-6, 1 - share))
+    return [min(-1e-3, log(0.1 if t is None else t) - log(c or 0.0)) for t, c in zip(shares[::2], shares[1::2], strict=True)]
 
 
 def probability(e: float, model: Model) -> float:
