@@ -57,6 +57,7 @@ BLOCKS = (6, 8, 12, 16)
 SEGMENT_BITS = 1.415  # -log2 of the chance that a two-bit segment has the same count in two random fingerprints
 PIVOT_ROUNDS = 2
 HOT_CELL, SALTS = 50_000, 16
+BROADCAST_IDS = 1_000_000  # of repeated ids, some 50 MB in an executor; beyond it the same join shuffles
 _AT_ONCE = 1 << 15
 _ODD = 0x5555555555555555
 
@@ -194,15 +195,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = _rooted(seen, max_bits).where("low IS NOT NULL")
     keep = cut(rooted.groupBy("root").agg(F.min(F.struct("low", "fp")).alias("k")).select(F.col("k.low").alias("_keep"), F.col("k.fp").alias("_fp")))
     many = cut(seen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_keep")).join(keep.select("_keep").distinct(), "_keep", "left_semi"))
-    single = keep.join(many, "_keep", "left_anti")
-    alone = docs.join(single, docs[id_col] == single["_keep"], "left_semi")
+    n_many = many.count()
+    single = keep.join(many, "_keep", "left_anti") if n_many else keep
+    alone = docs.join(single, docs[id_col] == single["_keep"], "left_semi").unionByName(docs.where(docs[id_col].isNull()))
+    if not n_many:
+        return alone
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_keep"), F.col(text_col).alias("_text"))
 
     @F.pandas_udf("long")
     def printed(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    again = packed.join(many, "_keep", "left_semi").withColumn("_fp", printed("_text"))
+    again = packed.join(F.broadcast(many) if n_many <= BROADCAST_IDS else many, "_keep", "left_semi").withColumn("_fp", printed("_text"))
     one = again.join(keep, ["_keep", "_fp"], "left_semi").groupBy("_keep", "_fp").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     parted = one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    return alone.unionByName(parted).unionByName(docs.where(docs[id_col].isNull()))
+    return alone.unionByName(parted)
